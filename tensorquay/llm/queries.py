@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import op3_ngram_jaccard
 from .quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }
 
