@@ -51,7 +51,8 @@ LABELLED = (
     ("https://poker.example.net/bonus/win", 0),
 )
 MOST_LABELLED = 10_000
-GRAM, DIMS, SCALE = 3, 4096, 1_000_000
+#: Slots of the hashed trigrams; weights are in millionths.
+DIMS, SCALE = 4096, 1_000_000
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,14 +75,14 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def gram_slots(host: Column, path: Column, dims: int = DIMS) -> Column:
-    """Slots of the character n-grams of host (odd half) and path (even half); an array of ints."""
+    """Slots of the character trigrams of host (odd half) and path (even half); an array of ints."""
 
     def of(text: Column, half: int) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
-        codes = F.transform(F.split(marked, ""), lambda c: F.when(c == "", 0).otherwise(F.ascii(c)))
-        at = F.sequence(F.lit(1), F.length(marked) - (GRAM - 1))
-        code = lambda i: (F.element_at(codes, i) * 31 + F.element_at(codes, i + 1)) * 31 + F.element_at(codes, i + 2)
-        slots = F.transform(at, lambda i: (code(i) * 2654435 % 1000003 % (dims // 2) * 2 + half).cast("int"))
+        codes = F.transform(F.split(marked, ""), lambda c: F.ascii(c).cast("long"))
+        after = lambda k: F.slice(codes, k + 1, F.greatest(F.size(codes) - k, F.lit(0)))
+        code = F.zip_with(F.zip_with(codes, after(1), lambda x, y: x * 31 + y), after(2), lambda x, y: x * 31 + y)
+        slots = F.transform(F.filter(code, lambda x: x.isNotNull()), lambda x: (x * 2654435 % 1000003 % (dims // 2) * 2 + half).cast("int"))
         return F.when(F.length(text) > 0, slots).otherwise(F.array().cast("array<int>"))
 
     return F.concat(of(host, 1), of(path, 0))
