@@ -41,6 +41,8 @@ from .text_kernels import U, buffers, mix, seeds, shingle_sets, slices
 TILE_SHINGLES = 2_000_000
 #: Bits of the filter that spares the shuffle of texts that need no comparison; a fixed 2 MB.
 FILTER_BITS = 1 << 24
+#: Keys that a task gathers before it hands them out, and classes it remembers to skip their copies.
+FLUSH_KEYS, SEEN_CLASSES = 2_000_000, 200_000
 _SEED = seeds(256, 9000)
 
 
@@ -117,45 +119,115 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _signed(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(uid, doc_id, th, n, sig, keys) of each row, written."""
+class KeyBuffer:
+    """Keys of a task's classes, handed out as one binary row for each bucket of the key's value.
+
+    A row holds the first uid, then for each key 48 of its bits and the distance to the next uid, column
+    by column; so a pair takes about eight bytes in shuffles.  Two keys that agree in those bits only
+    make a candidate more.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets, self.keys, self.uids, self.size = buckets, [], [], 0
+        self.seen: set[bytes] = set()
+
+    def add(self, uid: int, sig: bytes, keys: np.ndarray) -> None:
+        if not len(keys) or sig in self.seen:  # a copy in the same task has the same keys
+            return
+        if len(self.seen) >= SEEN_CLASSES:
+            self.seen.clear()
+        self.seen.add(sig)
+        self.keys.append(keys)
+        self.uids.append(np.full(len(keys), uid, np.int64))
+        self.size += len(keys)
+
+    def rows(self) -> tuple[np.ndarray, list[bytes]]:
+        if not self.size:
+            return np.zeros(0, np.int32), []
+        keys, uids = np.concatenate(self.keys), np.concatenate(self.uids)
+        self.keys, self.uids, self.size = [], [], 0
+        bucket = (keys % U(self.buckets)).astype(np.int32)
+        rest = keys // U(self.buckets) & U((1 << 48) - 1)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rest, uids = bucket[order], rest[order], uids[order]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        blobs = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            r, u = rest[a:b], uids[a:b]
+            step = np.diff(u, prepend=u[0]).astype(np.uint32)
+            blobs.append(u[:1].tobytes() + r.astype(np.uint32).tobytes() + (r >> U(32)).astype(np.uint16).tobytes() + step.tobytes())
+        return bucket[edge[:-1]], blobs
+
+
+def unpacked_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, uids) of a row of KeyBuffer."""
+    n = (len(blob) - 8) // 10
+    low, high = np.frombuffer(blob, np.uint32, n, 8), np.frombuffer(blob, np.uint16, n, 8 + 4 * n)
+    step = np.frombuffer(blob, np.uint32, n, 8 + 6 * n)
+    return low.astype(U) | high.astype(U) << U(32), np.frombuffer(blob, np.int64, 1)[0] + np.cumsum(step, dtype=np.int64)
+
+
+def _signed(docs: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
+    """((uid, doc_id, th, n, sig) of each row, (bucket, blob) with the keys of classes), written as one table."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_hash().alias("th"), "text")
     doc_type = rows.schema["doc_id"].dataType.simpleString()
+    buckets = 8 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["uid", "doc_id", "th", "n", "sig", "bucket", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer, id_type = KeyBuffer(buckets), pa.int64()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            bucket, blobs = buffer.rows()
+            if blobs:
+                none = [pa.nulls(len(blobs), t) for t in (pa.int64(), id_type, pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(bucket), pa.array(blobs, pa.binary())], names=names)
+
         for batch in batches:
+            id_type = batch.schema.field(1).type
             for part in slices(batch, "text"):
                 sets = shingle_sets(*buffers(part.column(3)), k)
-                keys = part_keys(sets, pct)
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array([digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["uid", "doc_id", "th", "n", "sig", "keys"])
-
-    return written(rows.mapInArrow(run, f"uid long, doc_id {doc_type}, th long, n long, sig binary, keys array<long>"), "signed")
-
-
-def _stars(keys: DataFrame) -> DataFrame:
-    """(u, v): each class and the smallest class that shares a key with it; streams over sorted keys."""
+                sigs = [digest(s) for s in sets]
+                for uid, sig, keys in zip(part.column(0).to_pylist(), sigs, part_keys(sets, pct)):
+                    buffer.add(uid, sig, keys)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+                if buffer.size >= FLUSH_KEYS:
+                    yield from flushed()
+        yield from flushed()
+
+    both = written(rows.mapInArrow(run, f"uid long, doc_id {doc_type}, th long, n long, sig binary, bucket int, blob binary"), "signed")
+    return both.where("uid is not null").drop("bucket", "blob"), both.where("bucket is not null").select("bucket", "blob")
+
+
+def _stars(blobs: DataFrame) -> DataFrame:
+    """(u, v): each uid and the smallest uid that shares a key with it, one bucket of keys at a time."""
+
+    def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        parts = [unpacked_keys(x) for x in held]
+        key, uid = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.lexsort((uid, key))
+        key, uid = key[order], uid[order]
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        lead = uid[np.flatnonzero(new)][np.cumsum(new) - 1]
+        far = lead != uid
+        if far.any():
+            pairs = np.unique(np.stack([lead[far], uid[far]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, None
+        at, held = None, []
         for batch in batches:
-            key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            new = np.ones(len(key), bool)
-            np.not_equal(key[1:], key[:-1], out=new[1:])
-            first = np.flatnonzero(new)
-            lead = cls[first][np.cumsum(new) - 1]
-            if last is not None and key[0] == last:
-                lead[: first[1] if len(first) > 1 else len(key)] = leader
-            last, leader = key[-1], lead[-1]
-            far = lead != cls
-            if far.any():
-                pairs = np.unique(np.stack([lead[far], cls[far]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at:
+                    yield from close(held)
+                    at, held = bucket, []
+                held.append(blob)
+        yield from close(held)
 
-    return keys.repartition(F.col("key")).sortWithinPartitions("key", "cls").mapInArrow(run, "u long, v long").distinct()
+    return blobs.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
 
 
 def bitmaps(sets: list[np.ndarray], pct: int) -> np.ndarray:
@@ -269,13 +341,13 @@ def classes(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     """One row for each row of ``docs``: uid, doc_id, th (a hash of the text), n, component_id, and
     first (the row stands for its component: the smallest doc_id, then the smallest uid)."""
     base = docs.select("doc_id", "text")
-    signed = _signed(base, k, pct)
-    key = signed.where("n > 0")
-    reps = key.groupBy("sig").agg(F.min(F.struct("uid", "keys")).alias("r")).select(F.col("r.uid").alias("cls"), F.explode("r.keys").alias("key"))
+    signed, blobs = _signed(base, k, pct)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
-    slim = written(key.groupBy("sig").agg(F.min(F.struct("uid", "doc_id", "th")).alias("r"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min(order).alias("top")).select("sig", F.col("r.uid").alias("cls"), F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th"), "n", "copies", "top"), "classes")
-    cluster = components(_stars(reps.select("key", "cls")))
-    cand = written(cluster.join(slim, F.col("node") == F.col("cls")).select("cls", F.col("root").alias("cluster"), "n", "sig", "doc_id", "th"), "candidates")
+    slim = written(signed.where("n > 0").groupBy("sig").agg(F.min("uid").alias("cls"), F.count(F.lit(1)).alias("copies"), F.min(order).alias("top")), "classes")
+    cluster = components(_stars(blobs))
+    near = cluster.join(signed, F.col("node") == F.col("uid")).groupBy("sig").agg(F.min("root").alias("cluster"), F.max("n").alias("n"), F.min(F.struct("uid", "doc_id", "th")).alias("r"))
+    near = near.withColumnRenamed("sig", "n_sig").join(slim.select("sig", "cls"), F.col("n_sig") == F.col("sig"))
+    cand = written(near.select("cls", "cluster", "n", "sig", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th")), "candidates")
     pages = written(hit_filter(cand, F.col("th")), "filter")
     texts = with_hit(base.withColumn("d_th", text_hash()).withColumnRenamed("doc_id", "d_id"), F.col("d_th"), pages).where("filter_hit").drop("filter_hit")
     tiles = _tiles(cand, pct).join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th"))).select("tile", "n", "cls", "sig", "text")
