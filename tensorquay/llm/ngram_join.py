@@ -6,15 +6,18 @@ documents link when ``100 * |A and B| >= pct * |A or B|``.
 1. Equal sets become one class (a partial aggregate on a 128-bit digest), so copies are compared once.
 2. Sizes fall into bands whose ends differ by the threshold; a pair that links lies in one band or
    two neighbours.  For band ``i`` at most D shingles may differ, so when the hash space is cut into
-   D + 1 + m parts, D + 1 + m - D of them are equal in both sets.  Each class emits one key for every
-   non-empty part, for its own band and as a guest of the next; a class with more than m empty parts
-   also emits the keys of another cut, until one has few enough.  So each linking pair shares a key,
-   while a passage that unrelated documents share gives none: its shingles are spread over the parts.
+   D + 1 + m parts, m + 1 of them are equal in both sets.  Each class emits one key for every non-empty
+   part, for its own band and as a guest of the next.  Of two sets that link, one with at most m empty
+   parts is enough for a common key; a class with more emits the keys of another cut as well, until one
+   has few enough.  The first cut leaves out the most frequent shingles (a bounded summary over all
+   documents; leaving the same shingles out of all sets adds no difference), so a passage that many
+   documents share brings none of them together.  Keys travel in binary rows by bucket, from each task
+   once for all copies of a class.
 3. Classes that share a key make clusters (contracted stars, never pairs of a group).  A cluster is
-   compared in tiles: one if it is small, else blocks of a band against blocks of the same and the
-   next band.  In a tile, hashed bitmap signatures come first: the bits in which two differ bound the
-   overlap from above.  Only pairs within the bound and not yet connected get the exact intersection
-   of their sorted arrays.
+   compared in tiles: one if it is small, else blocks of a band against blocks of the same and the next
+   band.  First hashed bitmap signatures alone: the bits in which two differ bound the overlap from
+   above; pairs within the bound make smaller clusters.  In these the texts come together in tiles, and
+   pairs within the bound that are not yet connected get the exact intersection of their sorted arrays.
 4. Links are contracted to components.
 
 Defined cases: a null, empty or white-space text has the empty set, size 0, and links with nothing;
@@ -43,6 +46,10 @@ TILE_SHINGLES = 2_000_000
 FILTER_BITS = 1 << 24
 #: Keys that a task gathers before it hands them out, and classes it remembers to skip their copies.
 FLUSH_KEYS, SEEN_CLASSES = 2_000_000, 200_000
+#: Shingles that the first cut leaves out: so many at most, in so many classes at least.
+HOT, HOT_LEAST = 1 << 16, 48
+#: Classes of a cluster or block whose signatures one tile compares at once.
+TILE_CLASSES = 4096
 _SEED = seeds(256, 9000)
 
 
@@ -61,7 +68,7 @@ class Bands:
         for i, (d, least) in enumerate(zip(self.most.tolist(), [1, *self.low.tolist()])):
             m = 0
             while d:
-                empty = (d + 1 + m) * np.exp(-least / (d + 1 + m))
+                empty = (d + 1 + m) * np.exp(-0.75 * least / (d + 1 + m))  # a quarter may be left out as frequent
                 if m >= empty + 2 * np.sqrt(empty) or m >= d:
                     break
                 m += 1 + m // 16
@@ -72,8 +79,11 @@ class Bands:
         return np.searchsorted(self.low, n, "right") - 1
 
 
-def part_keys(sets: list[np.ndarray], pct: int) -> list[np.ndarray]:
-    """For each set the keys it shares, at least one, with every set that it links to (but equal ones)."""
+def part_keys(sets: list[np.ndarray], pct: int, hot: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each set the keys it shares, at least one, with every set that it links to (but equal ones).
+
+    ``hot`` flags the 24-bit beginnings of shingles that the first cut leaves out.
+    """
     out: list[list[np.ndarray]] = [[] for _ in sets]
     size = np.array([len(s) for s in sets], np.int64)
     if not len(size) or not size.max():
@@ -83,14 +93,23 @@ def part_keys(sets: list[np.ndarray], pct: int) -> list[np.ndarray]:
     values = np.concatenate(sets)
     content = mix(values ^ _SEED[255])
     start = np.concatenate([[0], np.cumsum(size)])
+    if hot is None:
+        rare, r_size, r_start = None, size, start
+    else:
+        rare = np.flatnonzero(~hot[values >> U(40)])
+        r_start = np.searchsorted(rare, start)
+        r_size = np.diff(r_start)
     for guest in (0, 1):
         band = home + guest
         todo = np.flatnonzero((size > 0) & (bands.most[band] > 0))
         for cut in range(200):
             if not len(todo):
                 break
-            n = size[todo]
-            at = np.repeat(start[todo] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            first_cut = cut == 0 and rare is not None
+            n, begin = (r_size[todo], r_start[todo]) if first_cut else (size[todo], start[todo])
+            at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            if first_cut:
+                at = rare[at]
             parts = bands.parts[band[todo]]
             base = np.concatenate([[0], np.cumsum(parts)])
             part = ((mix(values[at] + _SEED[cut]) >> U(32)) * np.repeat(parts, n).astype(U)) >> U(32)
@@ -167,20 +186,72 @@ def unpacked_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(U) | high.astype(U) << U(32), np.frombuffer(blob, np.int64, 1)[0] + np.cumsum(step, dtype=np.int64)
 
 
+class Frequent:
+    """The most frequent shingles of a task: exact counts of what came before, least counts given up when full."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.most, self.seen = most, np.zeros(1 << 24, bool)
+        self.keys, self.counts = np.zeros(0, U), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        at = values >> U(40)
+        again = values[self.seen[at]]
+        self.seen[at] = True
+        if not len(again):
+            return
+        keys, counts = np.unique(again, return_counts=True)
+        all_keys, back = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([self.counts, counts]), minlength=len(all_keys)).astype(np.int64)
+        if len(all_keys) > self.most:
+            less = np.partition(total, -(self.most // 2))[-(self.most // 2)]
+            keep = total > less
+            all_keys, total = all_keys[keep], total[keep] - less
+        self.keys, self.counts = all_keys, total
+
+
+def frequent(docs: DataFrame, k: int) -> list[int]:
+    """At most HOT shingles that HOT_LEAST or more classes hold, by a mergeable summary over all documents.
+
+    They only decide which keys are made, never which documents link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = Frequent(), set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fresh = []
+                for s in shingle_sets(*buffers(part.column(0)), k):
+                    if len(s) and (d := digest(s)) not in seen:
+                        if len(seen) >= SEEN_CLASSES:
+                            seen.clear()
+                        seen.add(d)
+                        fresh.append(s)
+                if fresh:
+                    found.add(np.concatenate(fresh))
+        few = found.counts >= 3
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys[few].view(np.int64)), pa.array(found.counts[few])], names=["h", "c"])
+
+    x = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return [r["h"] for r in x.where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "h").limit(HOT).collect()]
+
+
 def _signed(docs: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
-    """((uid, doc_id, th, n, sig) of each row, (bucket, blob) with the keys of classes), written as one table."""
+    """((uid, doc_id, th, n, sig, bits) of each row, (bucket, blob) with the keys of classes), written as one table."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_hash().alias("th"), "text")
     doc_type = rows.schema["doc_id"].dataType.simpleString()
     buckets = 8 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = ["uid", "doc_id", "th", "n", "sig", "bucket", "blob"]
+    names = ["uid", "doc_id", "th", "n", "sig", "bits", "bucket", "blob"]
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # at most HOT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, id_type = KeyBuffer(buckets), pa.int64()
+        hot = np.zeros(1 << 24, bool)
+        hot[np.array(often.value, np.int64).view(U) >> U(40)] = True
 
         def flushed() -> Iterator[pa.RecordBatch]:
             bucket, blobs = buffer.rows()
             if blobs:
-                none = [pa.nulls(len(blobs), t) for t in (pa.int64(), id_type, pa.int64(), pa.int64(), pa.binary())]
+                none = [pa.nulls(len(blobs), t) for t in (pa.int64(), id_type, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*none, pa.array(bucket), pa.array(blobs, pa.binary())], names=names)
 
         for batch in batches:
@@ -188,14 +259,14 @@ def _signed(docs: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
             for part in slices(batch, "text"):
                 sets = shingle_sets(*buffers(part.column(3)), k)
                 sigs = [digest(s) for s in sets]
-                for uid, sig, keys in zip(part.column(0).to_pylist(), sigs, part_keys(sets, pct)):
+                for uid, sig, keys in zip(part.column(0).to_pylist(), sigs, part_keys(sets, pct, hot)):
                     buffer.add(uid, sig, keys)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(sigs, pa.binary()), pa.array([bitmap(s, pct).tobytes() for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
                 if buffer.size >= FLUSH_KEYS:
                     yield from flushed()
         yield from flushed()
 
-    both = written(rows.mapInArrow(run, f"uid long, doc_id {doc_type}, th long, n long, sig binary, bucket int, blob binary"), "signed")
+    both = written(rows.mapInArrow(run, f"uid long, doc_id {doc_type}, th long, n long, sig binary, bits binary, bucket int, blob binary"), "signed")
     return both.where("uid is not null").drop("bucket", "blob"), both.where("bucket is not null").select("bucket", "blob")
 
 
@@ -230,22 +301,35 @@ def _stars(blobs: DataFrame) -> DataFrame:
     return blobs.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
 
 
-def bitmaps(sets: list[np.ndarray], pct: int) -> np.ndarray:
-    """One row of 64-bit words for each set: bit h mod width is the parity of its shingles there."""
-    widest = max(len(s) for s in sets)
-    width = 1 << int(np.clip(np.ceil(np.log2(max(1, 4 * (100 - pct) * 2 * widest / (100 + pct)))), 8, 14))
-    out = np.zeros((len(sets), width // 8), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.packbits(np.bincount((s & U(width - 1)).astype(np.int64), minlength=width) & 1)
-    return out.view(U)
+def bitmap(s: np.ndarray, pct: int) -> np.ndarray:
+    """The signature of a set: bit h mod width is the parity of its shingles there; wider for larger sets."""
+    width = 1 << int(np.clip(np.ceil(np.log2(max(1, 4 * (100 - pct) * 2 * len(s) / (100 + pct)))), 8, 14))
+    return np.packbits(np.bincount((s & U(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
+
+
+class Signatures:
+    """Signatures of sets in the order of their sizes, folded to each smaller width that a pair may need."""
 
+    def __init__(self, maps: list[np.ndarray]):
+        self.own = np.array([len(m) for m in maps])
+        self.levels: dict[int, tuple[int, np.ndarray]] = {}
+        for w in sorted(set(self.own.tolist())):
+            first = int(np.argmax(self.own >= w))
+            folded = [np.bitwise_xor.reduce(m.reshape(-1, w), axis=0) for m in maps[first:]]
+            self.levels[w] = first, np.stack(folded).view(U)
 
-def linked(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``sets``, which are sorted by size."""
-    n = np.array([len(s) for s in sets], np.int64)
+    def distance(self, i: int, others: np.ndarray) -> np.ndarray:
+        """At most the number of shingles in which set i and the (not smaller) others differ."""
+        first, rows = self.levels[int(self.own[i])]
+        return np.bitwise_count(rows[others - first] ^ rows[i - first]).sum(axis=1, dtype=np.int64)
+
+
+def linked(n: np.ndarray, maps: list[np.ndarray], pct: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets in the order of their sizes ``n``; without ``sets``, of
+    the pairs that their signatures allow to link."""
     if len(n) < 2:
         return []
-    bits, group, found = bitmaps(sets, pct), np.arange(len(n)), []
+    marks, group, found = Signatures(maps), np.arange(len(n)), []
     last = np.searchsorted(n, n * 100 // pct, "right")
     for i in range(len(n) - 1):
         for a in range(i + 1, int(last[i]), 4096):
@@ -253,18 +337,48 @@ def linked(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
             free = np.flatnonzero(group[a:b] != group[i]) + a
             if not len(free):
                 continue
-            over = (n[i] + n[free] - np.bitwise_count(bits[free] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
+            over = (n[i] + n[free] - marks.distance(i, free)) // 2
             for j in free[100 * over >= pct * (n[i] + n[free] - over)].tolist():
                 if group[j] == group[i]:
                     continue
-                at = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
-                both = int((sets[j][at] == sets[i]).sum())
-                if 100 * both >= pct * (n[i] + n[j] - both):
-                    found.append((i, j))
-                    group[group == group[j]] = group[i]
+                if sets is not None:
+                    at = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
+                    both = int((sets[j][at] == sets[i]).sum())
+                    if 100 * both < pct * (n[i] + n[j] - both):
+                        continue
+                found.append((i, j))
+                group[group == group[j]] = group[i]
     return found
 
 
+def _pairs(cls: list[int], found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in found], pa.int64()), pa.array([cls[j] for _, j in found], pa.int64())], names=["u", "v"])
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], close) -> Iterator[pa.RecordBatch]:
+    """Calls ``close`` with the rows of each tile of batches sorted by tile (their first column)."""
+    tile, rows = None, []
+    for batch in batches:
+        for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if t != tile:
+                yield from close(rows)
+                tile, rows = t, []
+            rows.append(tuple(row))
+    yield from close(rows)
+
+
+def _allowed(tiles: DataFrame, pct: int) -> DataFrame:
+    """(u, v): a forest of the pairs that signatures allow, from tiles (columns tile, cls, n, bits)."""
+
+    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            yield from _pairs([r[0] for r in rows], linked(np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint8) for r in rows], pct))
+
+    x = tiles.repartition(F.col("tile")).sortWithinPartitions("tile", "n", "cls").select("tile", "cls", "n", "bits")
+    return x.mapInArrow(lambda batches: _by_tile(batches, close), "u long, v long")
+
+
 def _links(tiles: DataFrame, k: int, pct: int) -> DataFrame:
     """(u, v): links found in tiles (columns tile, n, cls, sig, text)."""
 
@@ -277,20 +391,10 @@ def _links(tiles: DataFrame, k: int, pct: int) -> DataFrame:
                     seen.add(c)
                     cls.append(c)
                     sets.append(s)
-        if found := linked(sets, pct):
-            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in found], pa.int64()), pa.array([cls[j] for _, j in found], pa.int64())], names=["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows = None, []
-        for batch in batches:
-            for t, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if t != tile:
-                    yield from close(rows)
-                    tile, rows = t, []
-                rows.append(tuple(row))
-        yield from close(rows)
+        yield from _pairs(cls, linked(np.array([len(s) for s in sets], np.int64), [bitmap(s, pct) for s in sets], pct, sets))
 
-    return tiles.repartition(F.col("tile")).sortWithinPartitions("tile", "n", "cls").select("tile", "cls", "sig", "text").mapInArrow(run, "u long, v long")
+    x = tiles.repartition(F.col("tile")).sortWithinPartitions("tile", "n", "cls").select("tile", "cls", "sig", "text")
+    return x.mapInArrow(lambda batches: _by_tile(batches, close), "u long, v long")
 
 
 def _band(n: Column, pct: int) -> Column:
@@ -298,12 +402,15 @@ def _band(n: Column, pct: int) -> Column:
     return F.floor(F.ln(n) / F.ln(F.lit(100.0 / pct)) * 0.999).cast("long")
 
 
-def _tiles(cand: DataFrame, pct: int) -> DataFrame:
-    """``cand`` (cluster, cls, n, ...) with a column tile; a class stands in all tiles that compare it."""
+def _tiles(cand: DataFrame, pct: int, weight: Column, most: int) -> DataFrame:
+    """``cand`` (cluster, cls, n, ...) with a column tile; a class stands in all tiles that compare it.
+
+    ``weight`` summed over the classes of a block comes to about ``most``.
+    """
     c = cand.withColumn("band", _band(F.col("n"), pct))
-    whole = c.groupBy("cluster").agg(F.sum("n").alias("all_n"))
-    each = c.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("long").alias("blocks"))
-    big = whole.where(F.col("all_n") > TILE_SHINGLES).select(F.col("cluster").alias("big"))
+    whole = c.groupBy("cluster").agg(F.sum(weight).alias("all_n"))
+    each = c.groupBy("cluster", "band").agg(F.ceil(F.sum(weight) / most).cast("long").alias("blocks"))
+    big = whole.where(F.col("all_n") > most).select(F.col("cluster").alias("big"))
     c = c.join(big, F.col("cluster") == F.col("big"), "left")
     small = c.where("big is null").withColumn("tile", F.xxhash64("cluster"))
     far = c.where("big is not null")
@@ -345,12 +452,14 @@ def classes(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
     slim = written(signed.where("n > 0").groupBy("sig").agg(F.min("uid").alias("cls"), F.count(F.lit(1)).alias("copies"), F.min(order).alias("top")), "classes")
     cluster = components(_stars(blobs))
-    near = cluster.join(signed, F.col("node") == F.col("uid")).groupBy("sig").agg(F.min("root").alias("cluster"), F.max("n").alias("n"), F.min(F.struct("uid", "doc_id", "th")).alias("r"))
+    near = cluster.join(signed, F.col("node") == F.col("uid")).groupBy("sig").agg(F.min("root").alias("cluster"), F.min(F.struct("uid", "doc_id", "th", "n", "bits")).alias("r"))
     near = near.withColumnRenamed("sig", "n_sig").join(slim.select("sig", "cls"), F.col("n_sig") == F.col("sig"))
-    cand = written(near.select("cls", "cluster", "n", "sig", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th")), "candidates")
+    cand = written(near.select("cls", "cluster", "sig", "r.n", "r.bits", "r.doc_id", "r.th"), "candidates")
+    tight = components(_allowed(_tiles(cand.select("cls", "cluster", "n", "bits"), pct, F.lit(1), TILE_CLASSES), pct))
+    cand = written(cand.drop("cluster", "bits").join(tight, F.col("cls") == F.col("node")).withColumnRenamed("root", "cluster").drop("node"), "candidates")
     pages = written(hit_filter(cand, F.col("th")), "filter")
     texts = with_hit(base.withColumn("d_th", text_hash()).withColumnRenamed("doc_id", "d_id"), F.col("d_th"), pages).where("filter_hit").drop("filter_hit")
-    tiles = _tiles(cand, pct).join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th"))).select("tile", "n", "cls", "sig", "text")
+    tiles = _tiles(cand, pct, F.col("n"), TILE_SHINGLES).join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("th") == F.col("d_th"))).select("tile", "n", "cls", "sig", "text")
     label = components(written(_links(tiles, k, pct), "links"))
     named = slim.join(label, F.col("cls") == F.col("node"), "left").select("sig", "top", "copies", "root", F.coalesce("root", "cls").alias("comp"))
     named = named.where("copies > 1 or root is not null")
