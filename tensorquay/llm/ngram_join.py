@@ -9,7 +9,7 @@ documents link when ``100 * |A and B| >= pct * |A or B|``.
    D + 1 + m parts, m + 1 of them are equal in both sets.  Each class emits one key for every non-empty
    part, for its own band and as a guest of the next.  Of two sets that link, one with at most m empty
    parts is enough for a common key; a class with more emits the keys of another cut as well, until one
-   has few enough.  The first cut leaves out the most frequent shingles (a bounded summary over all
+   has few enough (or, for tiny sets, one key for all such classes of the band).  The first cut leaves out the most frequent shingles (a bounded summary over all
    documents; leaving the same shingles out of all sets adds no difference), so a passage that many
    documents share brings none of them together.  Keys travel in binary rows by bucket, from each task
    once for all copies of a class.
@@ -48,6 +48,8 @@ FILTER_BITS = 1 << 24
 FLUSH_KEYS, SEEN_CLASSES = 2_000_000, 200_000
 #: Shingles that the first cut leaves out: so many at most, in so many classes at least.
 HOT, HOT_LEAST = 1 << 16, 48
+#: Cuts tried before a set falls back to one key for its band (tiny sets, or thresholds well below 0.75).
+MOST_CUTS = 24
 #: Classes of a cluster or block whose signatures one tile compares at once.
 TILE_CLASSES = 4096
 _SEED = seeds(256, 9000)
@@ -102,7 +104,9 @@ def part_keys(sets: list[np.ndarray], pct: int, hot: np.ndarray | None = None) -
     for guest in (0, 1):
         band = home + guest
         todo = np.flatnonzero((size > 0) & (bands.most[band] > 0))
-        for cut in range(200):
+        if guest:  # only if a partner can be that large
+            todo = todo[size[todo] * 100 // pct >= bands.low[band[todo]]]
+        for cut in range(MOST_CUTS):
             if not len(todo):
                 break
             first_cut = cut == 0 and rare is not None
@@ -125,8 +129,8 @@ def part_keys(sets: list[np.ndarray], pct: int, hot: np.ndarray | None = None) -
                 a, b = base[j], base[j + 1]
                 out[d].append(keys[a:b][full[a:b] > 0] if empty[j] else keys[a:b])
             todo = todo[empty > bands.spare[band[todo]]]
-        else:
-            raise RuntimeError("part_keys: no cut fits")
+        for d in todo.tolist():  # a set with too few shingles for any cut meets all such sets of its band
+            out[d].append(mix(np.array([int(band[d]) << 40 | 1 << 62], U)))
     return [np.concatenate(x) if x else np.zeros(0, U) for x in out]
 
 
