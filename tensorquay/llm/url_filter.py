@@ -74,18 +74,23 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
-def gram_slots(host: Column, path: Column, dims: int = DIMS) -> Column:
-    """Slots of the character trigrams of host (odd half) and path (even half); an array of ints."""
-
-    def of(text: Column, half: int) -> Column:
-        marked = F.concat(F.lit("^"), text, F.lit("$"))
-        codes = F.transform(F.split(marked, ""), lambda c: F.ascii(c).cast("long"))
-        after = lambda k: F.slice(codes, k + 1, F.greatest(F.size(codes) - k, F.lit(0)))
-        code = F.zip_with(F.zip_with(codes, after(1), lambda x, y: x * 31 + y), after(2), lambda x, y: x * 31 + y)
-        slots = F.transform(F.filter(code, lambda x: x.isNotNull()), lambda x: (x * 2654435 % 1000003 % (dims // 2) * 2 + half).cast("int"))
+def with_slots(df: DataFrame, dims: int = DIMS) -> DataFrame:
+    """``df`` (with host, path) with slots: those of the character trigrams of host (odd) and path (even).
+
+    Characters become codes in a projection of their own, so that none is computed twice.
+    """
+    marked = lambda c: F.concat(F.lit("^"), F.col(c), F.lit("$"))
+    codes = lambda c: F.transform(F.split(marked(c), ""), lambda x: F.ascii(x).cast("long"))
+    x = df.withColumns({"host_codes": codes("host"), "path_codes": codes("path")})
+
+    def of(text: str, half: int) -> Column:
+        c = F.col(f"{text}_codes")
+        after = lambda k: F.slice(c, k + 1, F.greatest(F.size(c) - 2, F.lit(0)))
+        pairs = F.zip_with(after(0), after(1), lambda a, b: (a * 31 + b) * 31)
+        slots = F.zip_with(pairs, after(2), lambda a, b: ((a + b) * 2654435 % 1000003 % (dims // 2) * 2 + half).cast("int"))
         return F.when(F.length(text) > 0, slots).otherwise(F.array().cast("array<int>"))
 
-    return F.concat(of(host, 1), of(path, 0))
+    return x.withColumn("slots", F.concat(of("host", 1), of("path", 0))).drop("host_codes", "path_codes")
 
 
 def fitted(rows: list[tuple[list[int], int]], dims: int = DIMS, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[int]:
@@ -112,7 +117,8 @@ def fitted(rows: list[tuple[list[int], int]], dims: int = DIMS, steps: int = 300
 def trained(labelled: DataFrame, url: str = "url", label: str = "label") -> list[int]:
     """Weights from a small labelled table (MOST_LABELLED rows at most, else an error)."""
     host, path = host_and_path(url)
-    rows = labelled.select(gram_slots(host, path).alias("slots"), F.col(label).cast("int").alias("label"), url).limit(MOST_LABELLED + 1).collect()
+    x = with_slots(labelled.select(host.alias("host"), path.alias("path"), F.col(label).cast("int").alias("label"), url))
+    rows = x.select("slots", "label", url).limit(MOST_LABELLED + 1).collect()
     if len(rows) > MOST_LABELLED:
         raise ValueError(f"the labelled table has more than {MOST_LABELLED} rows")
     return fitted([(r["slots"], r["label"]) for r in sorted(rows, key=lambda r: (r[url] or "", r["label"]))])
@@ -120,7 +126,7 @@ def trained(labelled: DataFrame, url: str = "url", label: str = "label") -> list
 
 def logit(slots: Column, weights: list[int]) -> Column:
     """The model's score of a URL, whose sign is its verdict: an integer sum over the n-grams."""
-    table = F.array(*(F.lit(w).cast("long") for w in weights[:-1]))
+    table = F.split(F.lit(",".join(map(str, weights[:-1]))), ",").cast("array<bigint>")  # folded to one literal
     total = F.aggregate(slots, F.lit(0).cast("long"), lambda a, s: a + F.get(table, s))
     return total * 8 + F.lit(weights[-1]).cast("long") * F.greatest(F.size(slots), F.lit(1))
 
@@ -130,8 +136,8 @@ def judge(pages: DataFrame, weights: list[int], url: str = "url", rules: tuple[t
     host, path = host_and_path(url)
     x = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    x = x.withColumn("rule", rule).withColumn("says", verdict)
-    x = x.withColumn("logit", logit(gram_slots(F.col("host"), F.col("path")), weights))
+    x = with_slots(x.withColumn("rule", rule).withColumn("says", verdict))
+    x = x.withColumn("logit", logit(F.col("slots"), weights)).drop("slots")
     return x.withColumn("verdict", F.coalesce("says", F.when(F.col("logit") >= 0, "allow").otherwise("block"))).drop("says")
 
 
@@ -142,7 +148,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slots_of(text: str, half: int) -> list[int]:
-    """gram_slots of one string, for the SQL below."""
+    """The slots of one string, for the SQL below."""
     if not text:
         return []
     codes = [ord(c) for c in f"^{text}$"]
