@@ -81,9 +81,9 @@ def best_fits(requests: DataFrame, runs: DataFrame, per_weight: int) -> DataFram
     classes = runs.groupBy(F.floor(F.log2(F.col("length").cast("double"))).cast("int").alias("class")).agg(F.min(key).alias("best"))
     need = requests.withColumn("weights", weights).withColumn("class_from", size(F.greatest(weights, F.lit(1))))
     whole = need.join(F.broadcast(classes), F.col("class") >= F.col("class_from"), "left").groupBy("req", "weights", "class_from").agg(F.min("best").alias("whole"))
-    # runs of the class just below may still be long enough
-    part = runs.select(F.floor(F.log2(F.col("length").cast("double"))).cast("int").alias("r_class"), key.alias("r"))
-    near = whole.join(part, (F.col("r_class") == F.col("class_from") - 1) & (F.col("r.length") >= F.col("weights")), "left")
+    # runs of the class just below may still be long enough: the best of each of their lengths
+    part = runs.groupBy("length").agg(F.min(key).alias("r")).select(F.floor(F.log2(F.col("length").cast("double"))).cast("int").alias("r_class"), "length", "r")
+    near = whole.join(part, (F.col("r_class") == F.col("class_from") - 1) & (F.col("length") >= F.col("weights")), "left")
     return near.groupBy("req", "weights").agg(F.least(F.min("whole"), F.min("r")).alias("r")).select("req", "weights", "r.*")
 
 
