@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text_kernels import Words, buffers, slices
+from .text_kernels import Words, buffers, slices, tidy
 
 #: Phrases whose consecutive words name a license.
 PHRASES = {
@@ -184,7 +184,7 @@ def find(docs: DataFrame) -> DataFrame:
                     scores.append(s)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(scores, pa.float64()), pa.array(phrases, phrase), pa.array(places, place)], names=["doc_id", "n_words", "score", "phrases", "templates"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, score double, phrases array<struct<label:string,start:bigint>>, templates array<struct<name:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, score double, phrases array<struct<label:string,start:bigint>>, templates array<struct<name:string,start:bigint,end:bigint>>")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

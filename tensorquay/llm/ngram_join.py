@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import written
-from .text_kernels import U, buffers, mix, seeds, shingle_sets, slices
+from .text_kernels import U, buffers, mix, seeds, shingle_sets, slices, tidy
 
 #: Shingles of a cluster or block that one tile compares at once (8 bytes each).
 TILE_SHINGLES = 2_000_000
 #: Bits of the filter that spares the shuffle of texts that need no comparison; a fixed 2 MB.
 FILTER_BITS = 1 << 24
 #: Keys that a task gathers before it hands them out, and classes it remembers to skip their copies.
-FLUSH_KEYS, SEEN_CLASSES = 2_000_000, 200_000
+FLUSH_KEYS, SEEN_CLASSES = 1_000_000, 100_000
 #: Shingles that the first cut leaves out: so many at most, in so many classes at least.
 HOT, HOT_LEAST = 1 << 16, 48
 #: Cuts tried before a set falls back to one key for its band (tiny sets, or thresholds well below 0.75).
@@ -235,7 +235,7 @@ def frequent(docs: DataFrame, k: int) -> list[int]:
         few = found.counts >= 3
         yield pa.RecordBatch.from_arrays([pa.array(found.keys[few].view(np.int64)), pa.array(found.counts[few])], names=["h", "c"])
 
-    x = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    x = docs.select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     return [r["h"] for r in x.where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "h").limit(HOT).collect()]
 
 
@@ -270,7 +270,7 @@ def _signed(docs: DataFrame, k: int, pct: int) -> tuple[DataFrame, DataFrame]:
                     yield from flushed()
         yield from flushed()
 
-    both = written(rows.mapInArrow(run, f"uid long, doc_id {doc_type}, th long, n long, sig binary, bits binary, bucket int, blob binary"), "signed")
+    both = written(rows.mapInArrow(tidy(run), f"uid long, doc_id {doc_type}, th long, n long, sig binary, bits binary, bucket int, blob binary"), "signed")
     return both.where("uid is not null").drop("bucket", "blob"), both.where("bucket is not null").select("bucket", "blob")
 
 
@@ -302,7 +302,7 @@ def _stars(blobs: DataFrame) -> DataFrame:
                 held.append(blob)
         yield from close(held)
 
-    return blobs.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "u long, v long").distinct()
+    return blobs.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def bitmap(s: np.ndarray, pct: int) -> np.ndarray:
@@ -380,7 +380,7 @@ def _allowed(tiles: DataFrame, pct: int) -> DataFrame:
             yield from _pairs([r[0] for r in rows], linked(np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint8) for r in rows], pct))
 
     x = tiles.repartition(F.col("tile")).sortWithinPartitions("tile", "n", "cls").select("tile", "cls", "n", "bits")
-    return x.mapInArrow(lambda batches: _by_tile(batches, close), "u long, v long")
+    return x.mapInArrow(tidy(lambda batches: _by_tile(batches, close)), "u long, v long")
 
 
 def _links(tiles: DataFrame, k: int, pct: int) -> DataFrame:
@@ -398,7 +398,7 @@ def _links(tiles: DataFrame, k: int, pct: int) -> DataFrame:
         yield from _pairs(cls, linked(np.array([len(s) for s in sets], np.int64), [bitmap(s, pct) for s in sets], pct, sets))
 
     x = tiles.repartition(F.col("tile")).sortWithinPartitions("tile", "n", "cls").select("tile", "cls", "sig", "text")
-    return x.mapInArrow(lambda batches: _by_tile(batches, close), "u long, v long")
+    return x.mapInArrow(tidy(lambda batches: _by_tile(batches, close)), "u long, v long")
 
 
 def _band(n: Column, pct: int) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import counts
-from .text_kernels import Words, buffers, slices
+from .text_kernels import Words, buffers, slices, tidy
 
 #: Rows of each kind that the fit sees.
 SAMPLE = 8_000
@@ -127,7 +127,7 @@ def _sampled(docs: DataFrame, marked: DataFrame, sample: int) -> tuple[np.ndarra
                 f = features(*buffers(part.column(0)))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in f], pa.binary())], names=["p", "u", "f"])
 
-    rows = x.mapInArrow(run, "p boolean, u boolean, f binary").collect()
+    rows = x.mapInArrow(tidy(run), "p boolean, u boolean, f binary").collect()
     rows.sort(key=lambda r: bytes(r["f"]))  # the fit must not depend on the order of arrival
     of = lambda k: np.frombuffer(b"".join(bytes(r["f"]) for r in rows if r[k]), np.float32).reshape(-1, DIMS)
     return of("p"), of("u")
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, model: Fit) -> DataFrame:
                 s = model.scores(features(*buffers(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    out = x.mapInArrow(run, f"doc_id {kind}, score double")
+    out = x.mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

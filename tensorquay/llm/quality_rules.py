@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import written
-from .text_kernels import SPACE, U, Words, buffers, grams, mix, slices, span_hashes
+from .text_kernels import SPACE, U, Words, buffers, grams, mix, slices, span_hashes, tidy
 
 #: ratio -> (numerator, denominator, least distance of the upper fence from the third quartile), per mille.
 RATIOS = {
@@ -101,7 +101,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
                 found = counts(*buffers(part.column(part.schema.get_field_index(text))))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[c]) for c in COUNTS)], names=[*part.schema.names, *COUNTS])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text_kernels import tidy
+
 BASE = ("assign", "access", "hex")
 #: What redaction puts in place of a span.
 MASK = "<secret>"
@@ -157,7 +159,7 @@ def find(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t.as_py())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span)], names=["doc_id", "spans"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def redact(docs: DataFrame) -> DataFrame:
             yield batch
 
     names = docs.columns
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     if "n_chars" not in names:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").contains(MASK), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from typing import Any
@@ -27,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Units whose ids a worker remembers; it starts anew beyond that.
-MEMO_UNITS = 400_000
+from .text_kernels import tidy
+
+#: Units whose ids a worker remembers, in a table and the one before it.
+MEMO_UNITS = 200_000
 #: Longer units are not remembered.
 MEMO_CHARS = 64
 #: Threads of the library in a worker.
@@ -166,8 +169,11 @@ class Codec:
         # units are cut after normalisation, so both encoders must see plain pieces of text
         self.by_unit = self.model.separable and not self.model.charsmap and not self.model.strip_spaces and self.model.escape
         self.tok = self.model.tokenizer(prefix=not self.by_unit)
-        self.memo: dict[str, tuple[tuple[int, ...], str, bool]] = {}
-        self.pieces = np.array([p for p, _, _ in self.model.pieces], object)
+        # units without their first marker -> ids, four bytes each; the former table serves until it is full again
+        self.memo: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}  # units that do not decode to themselves
+        self.odd: set[str] = set()  # units that the rebuilt encoder cuts otherwise
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -186,43 +192,66 @@ class Codec:
         ids = iter(self.reference.encode(marked, num_threads=self.threads) if marked else [])
         return [next(ids) if c else None for c in comparable]
 
-    def _learn(self, units: list[str], parity: bool) -> dict[str, tuple[tuple[int, ...], str, bool]]:
-        got = [tuple(e.ids) for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-        same = [True] * len(units)
+    @property
+    def _lead(self) -> str:
+        return MARK if self.by_unit and self.model.dummy_prefix else ""
+
+    def cut(self, text: str) -> list[str]:
+        """The units of a text, each without its first marker if the model puts one before a text."""
+        if not text:
+            return []
+        if not self.by_unit:
+            return [text]
+        if self._lead and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        units = self._unit.findall(self._lead + text.replace(" ", MARK))
+        return [u[1:] for u in units] if self._lead else units
+
+    def _learn(self, keys: list[str], parity: bool) -> None:
+        units = [self._lead + k for k in keys] if self._lead else keys
+        got = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
         if parity:
             for i, ids in enumerate(self._reference_ids(units)):
-                if ids is not None and tuple(ids) != got[i]:
-                    same[i], got[i] = False, tuple(ids)
-        texts = self.tok.decode_batch([list(g) for g in got], skip_special_tokens=False)
-        return {u: (g, t, s) for u, g, t, s in zip(units, got, texts, same)}
+                if ids is not None and ids != got[i]:
+                    self.odd.add(keys[i])
+                    got[i] = ids
+        texts = self.tok.decode_batch(got, skip_special_tokens=False)
+        for key, unit, text, ids in zip(keys, units, texts, got):
+            if text != self._plain(unit):
+                self.texts[key] = text
+            self.memo[key] = array("i", ids).tobytes()
+
+    def _plain(self, unit: str) -> str:
+        return unit.replace(MARK, " ") if self.by_unit else unit
 
     def encode(self, texts: list[str | None], parity: bool = True) -> tuple[list[np.ndarray | None], list[str | None], list[int]]:
         """ids, decoded text, and number of units in which the encoders differed, of each text."""
-        if self.by_unit:
-            lead = MARK if self.model.dummy_prefix else ""
-            cut = [self._unit.findall(lead + t.replace(" ", MARK)) if t else [] for t in texts]
-        else:
-            cut = [[t] if t else [] for t in texts]
-        new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.memo]
+        cut = [None if t is None else self.cut(t) for t in texts]
+        keys = set(chain.from_iterable(x for x in cut if x))
+        new = keys.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_UNITS:
-            self.memo.clear()
-            new = list(dict.fromkeys(chain.from_iterable(cut)))
-        fresh = self._learn(new, parity) if new else {}
-        for u, x in fresh.items():
-            if len(u) <= MEMO_CHARS:
-                self.memo[u] = x
+            self.former, self.memo = self.memo, {}
+            self.texts, self.odd, new = {k: v for k, v in self.texts.items() if k in self.former}, {k for k in self.odd if k in self.former}, keys
+        known = new & self.former.keys()
+        self.memo.update((k, self.former[k]) for k in known)
+        if unknown := list(new - known):
+            self._learn(unknown, parity)
         ids, decoded, odd = [], [], []
-        for t, units in zip(texts, cut):
-            if t is None:
+        for units in cut:
+            if units is None:
                 ids.append(None)
                 decoded.append(None)
                 odd.append(0)
                 continue
-            found = [self.memo.get(u) or fresh[u] for u in units]
-            ids.append(np.fromiter(chain.from_iterable(x[0] for x in found), np.int32))
-            text = "".join([x[1] for x in found])
+            ids.append(np.frombuffer(b"".join(map(self.memo.__getitem__, units)), np.int32))
+            if self.texts and not self.texts.keys().isdisjoint(units):
+                text = "".join([self.texts[u] if u in self.texts else self._plain(self._lead + u) for u in units])
+            else:
+                text = self._plain((self._lead + self._lead.join(units)) if units else "")
             decoded.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
-            odd.append(len(found) - sum(x[2] for x in found))
+            odd.append(sum(u in self.odd for u in units) if self.odd else 0)
+        for k in [k for k in keys if len(k) > MEMO_CHARS]:
+            del self.memo[k]
         return ids, decoded, odd
 
     def decode(self, ids: list[list[int] | None]) -> list[str | None]:
@@ -261,7 +290,7 @@ def encoded(df: DataFrame, model: str | None = None, rows: int = 256, digest: bo
                     more.append(pa.array([None if d is None else hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *(f"x_{n}" for n, _, _ in extra)])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidy(run), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(f"x_{n}").alias(n) for n, _, _ in extra))
 
 
@@ -277,7 +306,7 @@ def decoded(df: DataFrame, model: str | None = None) -> DataFrame:
             texts = codec.decode(batch.column(names.index("ids")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

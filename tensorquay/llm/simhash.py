@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text_kernels import U, Words, buffers, grams, mix, seeds
+from .text_kernels import U, Words, buffers, grams, mix, seeds, tidy
 
 #: Bits of a fingerprint (a multiple of 64).
 BITS = 128
@@ -157,7 +157,7 @@ def neighbours(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     # a guest sorts after all own rows of its range, whatever its doc_id
     sorted_rows = dealt.repartition(F.col("place")).sortWithinPartitions("place", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return sorted_rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sorted_rows.mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near(prints: DataFrame, radius: int = 3, blocks: int | None = None, bits: int = BITS, fingerprint: str = "fingerprint") -> DataFrame:

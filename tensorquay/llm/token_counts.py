@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text_kernels import buffers
+from .text_kernels import buffers, tidy
 
 #: Characters of a chunk, and of the overlap at first.
 CHUNK, OVERLAP = 32_768, 512
-MEMO_PARTS = 400_000
+MEMO_PARTS = 200_000
 MEMO_CHARS = 64
 THREADS = 2
 LIMIT = 1024
@@ -161,7 +161,7 @@ def counted(docs: DataFrame, vocabulary: str | None = None, rows: int = 256) ->
                 n = counter.count([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(o)), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return x.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return x.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
