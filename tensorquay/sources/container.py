@@ -150,7 +150,12 @@ def build(pairs: list[tuple[str, int, Any]], tensors: list[tuple[str, list[int],
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, version, alignment, data_offset, error, pairs, tensors) of every file under ``path``."""
+    """The headers of every file under ``path``."""
+    return headers_of(host_files(spark, path))
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """(path, version, alignment, data_offset, error, pairs, tensors) of each file (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -164,7 +169,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "version", "alignment", "data_offset", "error", "pairs", "tensors"]).astype({"version": "Int32", "alignment": "Int64", "data_offset": "Int64"})
 
     schema = "path string, version int, alignment long, data_offset long, error string, pairs array<struct<key:string,type:int,value:string>>, tensors array<struct<name:string,dimensions:array<bigint>,raw_type:int,data_offset:bigint>>"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
 def pairs(header: DataFrame) -> DataFrame:
@@ -229,6 +234,20 @@ def merges(kv: DataFrame) -> DataFrame:
     return x.select("path", "rank", F.substring_index("m", " ", 1).alias("left"), F.expr("substring(m, instr(m, ' ') + 1)").alias("right"))
 
 
+def decoded_tensors(files: DataFrame, header: DataFrame) -> DataFrame:
+    """(path, name, type, weights): whole tensors of small files (path, content), decoded."""
+    from ..functions.bits import type_name
+    from ..functions.quant import dequantize
+
+    t = tensors(header).withColumn("type", type_name(F.col("raw_type")))
+    sizes = F.create_map(*(F.lit(x) for n in DECODERS for x in (n, BLOCK_BYTES[n])))
+    per = F.create_map(*(F.lit(x) for n in DECODERS for x in (n, BLOCK_WEIGHTS[n])))
+    count = F.aggregate("dimensions", F.lit(1).cast("long"), lambda a, x: a * x)
+    x = t.withColumn("size", (F.ceil(count / per[F.col("type")]) * sizes[F.col("type")]).cast("int")).where("size is not null")
+    raw = F.expr("substring(content, cast(data_offset + 1 as int), size)")
+    return x.join(files, "path").select("path", "name", "type", dequantize(F.col("type"), raw).alias("weights"))
+
+
 class BlockRange(InputPartition):
     def __init__(self, path: str, tensor: str, kind: str, offset: int, first: int, count: int):
         super().__init__((path, tensor, first))
