@@ -270,10 +270,10 @@ def encoded(df: DataFrame, model: str | None = None, rows: int = 256, digest: bo
     extra = [("n_tokens", pa.int64(), "long"), ("ids", pa.list_(pa.int32()), "array<int>"), ("round_trip", pa.bool_(), "boolean"), ("parity_misses", pa.int64(), "long")]
     if digest:
         extra.append(("decoded_sha256", pa.string(), "string"))
-    names = df.columns
+    names = [c for c in df.columns if c not in {n for n, _, _ in extra}]  # a column of the result replaces the input's
     inner = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     at = names.index("text")
-    schema = ", ".join([*(f"c{i} {df.schema[i].dataType.simpleString()}" for i in range(len(names))), *(f"x_{n} {t}" for n, _, t in extra)])
+    schema = ", ".join([*(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), *(f"x_{n} {t}" for n, _, t in extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
@@ -297,6 +297,7 @@ def encoded(df: DataFrame, model: str | None = None, rows: int = 256, digest: bo
 def decoded(df: DataFrame, model: str | None = None) -> DataFrame:
     """``df`` (with a column ids) with a column decoded."""
     path = model or default_model()
+    df = df.drop("decoded")
     names = df.columns
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "decoded string"])
 
