@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def little(value: Column, size: int) -> Column:
     """A whole number as ``size`` little-endian bytes."""
     digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))))
+    return bound(digits, lambda d: F.unhex(F.concat(*(F.substring(d, 2 * i + 1, 2) for i in reversed(range(size))))))
 
 
 def number(raw: Column, at: int, size: int) -> Column:
     """``size`` little-endian bytes of a binary column as a whole number."""
-    digits = F.hex(raw)
-    return F.conv(F.concat(*(F.substring(digits, 2 * (at + i) + 1, 2) for i in reversed(range(size)))), 16, 10).cast("long")
+    return bound(F.hex(F.substring(raw, at + 1, size)), lambda d: F.conv(F.concat(*(F.substring(d, 2 * i + 1, 2) for i in reversed(range(size)))), 16, 10).cast("long"))
 
 
 def packed_pointer(slot: Column, start: Column, bits: Column, flags: Column) -> Column:
@@ -28,20 +33,27 @@ def packed_pointer(slot: Column, start: Column, bits: Column, flags: Column) ->
 
 def unpacked_pointer(raw: Column) -> Column:
     """The fields of a pointer; null if it is null (no bits), of another length or has reserved bytes set."""
-    good = (F.length(raw) == 16) & (number(raw, 12, 4) == 0) & (number(raw, 6, 4) > 0)
-    return F.when(good, F.struct(number(raw, 0, 2).cast("int").alias("slot"), number(raw, 2, 4).alias("start"), number(raw, 6, 4).cast("int").alias("bits"), number(raw, 10, 2).cast("int").alias("flags")))
+
+    def fields(r: Column) -> Column:
+        good = (F.length(r) == 16) & (number(r, 12, 4) == 0) & (number(r, 6, 4) > 0)
+        return F.when(good, F.struct(number(r, 0, 2).cast("int").alias("slot"), number(r, 2, 4).alias("start"), number(r, 6, 4).cast("int").alias("bits"), number(r, 10, 2).cast("int").alias("flags")))
+
+    return bound(raw, fields)
 
 
 def packed_anchor(generation: Column, pointer: Column) -> Column:
     """generation (8 bytes), pointer, CRC-32 of both."""
-    body = F.concat(little(generation, 8), pointer)
-    return F.concat(body, little(F.crc32(body), 4))
+    return bound(F.concat(little(generation, 8), pointer), lambda body: F.concat(body, little(F.crc32(body), 4)))
 
 
 def unpacked_anchor(raw: Column) -> Column:
     """generation and pointer of an anchor slot; null if its checksum fails."""
-    good = (F.length(raw) == 28) & (F.crc32(F.substring(raw, 1, 24)) == number(raw, 24, 4))
-    return F.when(good, F.struct(number(raw, 0, 8).alias("generation"), F.substring(raw, 9, 16).alias("pointer")))
+
+    def fields(r: Column) -> Column:
+        good = (F.length(r) == 28) & (F.crc32(F.substring(r, 1, 24)) == number(r, 24, 4))
+        return F.when(good, F.struct(number(r, 0, 8).alias("generation"), F.substring(r, 9, 16).alias("pointer")))
+
+    return bound(raw, fields)
 
 
 def pack_directory(entries: list[tuple[str, int, int]]) -> bytes:

@@ -90,17 +90,18 @@ def best_fits(requests: DataFrame, runs: DataFrame, per_weight: int) -> DataFram
 def allocate(requests: DataFrame, runs: DataFrame, per_weight: int) -> DataFrame:
     """Requests of each pool served one after the other (best fit, the remainder stays free).
 
-    Each request changes what the next one finds, so a pool is a fold: one group of rows for each pool
+    If ``runs`` has dirty (weights at a run's beginning that were written before), runs whose dirty
+    beginning holds the request come first.  Each request changes what the next one finds, so a pool is a fold: one group of rows for each pool
     (column pool on both sides), pools in parallel.
     """
     import pandas as pd
 
     def fold(key: tuple, req: pd.DataFrame, run: pd.DataFrame) -> pd.DataFrame:
-        free = [list(r) for r in run[["ceiling", "salience", "length", "slot", "start"]].itertuples(index=False)]
+        free = [[*r, d] for r, d in zip(run[["ceiling", "salience", "length", "slot", "start"]].itertuples(index=False, name=None), run["dirty"] if "dirty" in run else [0] * len(run))]
         out = []
         for r in req.sort_values(["req"]).itertuples(index=False):
             need = -(-int(r.bits) // per_weight)
-            fit = min((f for f in free if f[2] >= need), default=None)
+            fit = min((f for f in free if f[5] >= need > 0), default=None) or min((f for f in free if f[2] >= need), default=None)
             if fit is None or need == 0:
                 out.append((key[0], r.req, None, None, need))
                 continue
@@ -108,7 +109,7 @@ def allocate(requests: DataFrame, runs: DataFrame, per_weight: int) -> DataFrame
             if fit[2] == need:
                 free.remove(fit)
             else:
-                fit[2], fit[4] = fit[2] - need, fit[4] + need
+                fit[2], fit[4], fit[5] = fit[2] - need, fit[4] + need, max(0, fit[5] - need)
         return pd.DataFrame(out, columns=["pool", "req", "slot", "start", "length"]).astype({"slot": "Int64", "start": "Int64"})
 
     return requests.groupBy("pool").cogroup(runs.groupBy("pool")).applyInPandas(fold, "pool long, req long, slot long, start long, length long")

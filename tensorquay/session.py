@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -43,6 +45,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+_folders: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if named:
+        return named.rstrip("/")
+    if not _folders:
+        _folders.append(tempfile.mkdtemp(prefix="tensorquay-"))
+        atexit.register(shutil.rmtree, _folders[0], ignore_errors=True)
+    return "file://" + _folders[0]
+
+
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``query``, after its session has this package on the executors."""
 
