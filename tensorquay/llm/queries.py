@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import oracles, url_filter
 from .license_scan import op5_licenses
 from .mixing import ORACLE_MIX_SOURCES, op2_mix_sources
 from .ngram_join import op3_ngram_jaccard
@@ -33,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": ORACLE_MIX_SOURCES,
     "op7_url_filter": url_filter.oracle_sql(),
+    "op10_quality_rules": oracles.quality_rules_sql(),
 }
