@@ -3,6 +3,7 @@
 import json
 import zlib
 
+import numpy as np
 import pytest
 
 from tensorquay.catalog import QUERIES
@@ -24,3 +25,28 @@ def test_stat_of_every_file(spark, documents):
         want.append({"path": f"/{lang}/{source}/{doc}.txt", "kind": "file", "size_bytes": len(raw), "crc32": f"{zlib.crc32(raw):08x}"})
     got = [json.loads(r["payload"]) for r in QUERIES["ask3_stat_crc"](spark, folder).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_compensation_of_every_line(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 64))
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(np.float32).astype(float)
+    lines = [(int(o), int(n), int(p), int(s)) for o, n, p, s in zip(rng.integers(0, 500, 400), rng.integers(1, 8, 400), rng.integers(0, 100, 400), rng.integers(0, 10, 400))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    regions = {}
+    for o, n, p, s in lines:
+        delta = 0.0 if n == 1 else n * 0.25 - 1
+        if delta and o % 64 < 8:
+            r = regions.setdefault((s % 2, p % 50), {})
+            r[o % 64] = r.get(o % 64, 0.0) + delta
+    want = {}
+    for (layer, out), r in regions.items():
+        own = x[layer::2]
+        h = own.T @ own / len(own)
+        taken, free = sorted(r), [c for c in range(64) if c not in r]
+        change = -np.linalg.solve(h[np.ix_(free, free)], h[np.ix_(free, taken)]) @ np.array([r[c] for c in taken])
+        want |= {(f"blk.{layer}.attn_q.weight", out, c): v for c, v in zip(free, change)}
+    got = {(r["tensor"], r["out_channel"], r["channel"]): r["change"] for r in QUERIES["df25_compensated_write"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
