@@ -121,6 +121,13 @@ class Decoder:
         x = self._norm(x[-1:] if last_only else x, "output_norm")
         return x @ self.head.T
 
+    def read(self, tokens: np.ndarray, step: int = 256, observe=None) -> np.ndarray:
+        """Logits after the last of any number of tokens, ``step`` at a time, so that scores stay small."""
+        cache: list = []
+        for a in range(0, len(tokens), step):
+            z = self.run(tokens[a : a + step], cache, observe, last_only=True)
+        return z[0]
+
     def perplexity(self, tokens: np.ndarray, window: int) -> float:
         """exp of the mean negative log-likelihood over windows that do not overlap."""
         if window < 2 or len(tokens) < 2:

@@ -107,13 +107,13 @@ def _decoder():
         for name, shape in (("attn_q", (d, d)), ("attn_k", (8, d)), ("attn_v", (8, d)), ("attn_output", (d, d)), ("ffn_gate", (f, d)), ("ffn_up", (f, d)), ("ffn_down", (d, f))):
             w[f"blk.{i}.{name}"] = (rng.normal(size=shape) * 0.2).astype(np.float32)
         w[f"blk.{i}.attn_norm"] = w[f"blk.{i}.ffn_norm"] = np.ones(d, np.float32)
-    return Decoder(w, heads=4, kv_heads=2)
+    return Decoder(w, heads=4, kv_heads=2, context=2**31 - 1)  # turns are read whole, however long
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("text is not null")
     tokens = F.transform(F.filter(F.split("text", r"[ \t\n]+"), lambda w: w != ""), lambda w: F.length(w) % 32)
-    return c.select("conv_id", "turn", F.slice(tokens, 1, 256).alias("tokens")).where("size(tokens) >= 2")
+    return c.select("conv_id", "turn", tokens.alias("tokens")).where("size(tokens) >= 2")
 
 
 @query("df22_forward_pass")
@@ -126,7 +126,7 @@ def df22(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for c, t, tokens in zip(pdf["conv_id"], pdf["turn"], pdf["tokens"]):
                 ids = np.asarray(tokens, np.int64)
-                out.append((c, t, int(model.run(ids, last_only=True)[0].argmax()), round(model.perplexity(ids, 64), 3)))
+                out.append((c, t, int(model.read(ids).argmax()), round(model.perplexity(ids, 64), 3)))
             yield pd.DataFrame(out, columns=["conv_id", "turn", "token", "perplexity"])
 
     return _sequences(spark, sf_dir).mapInPandas(run, "conv_id long, turn long, token int, perplexity double")
@@ -147,7 +147,7 @@ def df24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         for pdf in batches:
             for tokens in pdf["tokens"]:
-                model.run(np.asarray(tokens, np.int64), observe=observe)
+                model.read(np.asarray(tokens, np.int64), observe=observe)
         rows = [(site, layer, c, v, n) for (site, layer), (total, n) in sums.items() for c, v in enumerate(total.tolist())]
         yield pd.DataFrame(rows, columns=["site", "layer", "channel", "total", "tokens"])
 

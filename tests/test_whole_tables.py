@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tensorquay.catalog import QUERIES
+from tensorquay.plans.containers import _decoder
 
 
 @pytest.fixture
@@ -50,3 +51,47 @@ def test_compensation_of_every_line(spark, tmp_path):
     got = {(r["tensor"], r["out_channel"], r["channel"]): r["change"] for r in QUERIES["df25_compensated_write"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.fixture
+def turns(spark, tmp_path):
+    """A folder with turns of several lengths, two beyond the decoder's usual context, and their tokens."""
+    rng = np.random.default_rng(9)
+    ids = {(1, 0): 2, (1, 1): 256, (2, 0): 257, (2, 1): 300, (3, 0): 700, (4, 0): 2100, (4, 1): 2500}
+    ids = {k: rng.integers(1, 32, n) for k, n in ids.items()}
+    rows = [(c, t, "user", " ".join("w" * i for i in v.tolist())) for (c, t), v in ids.items()]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path), ids
+
+
+def test_forward_pass_of_whole_turns(spark, turns):
+    folder, ids = turns
+    got = {(r["conv_id"], r["turn"]): (r["token"], r["perplexity"]) for r in QUERIES["df22_forward_pass"](spark, folder).collect()}
+    model = _decoder()
+    assert got.keys() == ids.keys()
+    for k, v in ids.items():
+        assert got[k][0] == int(model.run(v, last_only=True)[0].argmax())
+        losses = []
+        for a in range(0, len(v), 64):
+            z = model.run(v[a : a + 64]).astype(float)[:-1]
+            losses += (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), v[a + 1 : a + 64]]).tolist()
+        assert abs(got[k][1] - np.exp(np.mean(losses))) < 2e-3
+
+
+def test_calibration_of_whole_turns(spark, turns):
+    folder, ids = turns
+    model, sums = _decoder(), {}
+
+    def observe(site, layer, x):
+        s = sums.setdefault((site, layer), [0, 0])
+        s[0] += np.abs(x).astype(float).sum(axis=0)
+        s[1] += len(x)
+
+    for v in ids.values():
+        model.run(v, observe=observe)
+    got = {(r["tensor"], r["channel"]): r["salience"] for r in QUERIES["df24_calibrate"](spark, folder).collect()}
+    for role, site in (("attn_q", "qkv_input"), ("attn_output", "attn_output_input"), ("ffn_up", "ffn_gate_up_input"), ("ffn_down", "ffn_down_input")):
+        for layer in range(2):
+            total, n = sums[site, layer]
+            assert n == sum(map(len, ids.values()))
+            assert all(abs(got[f"blk.{layer}.{role}.weight", c] - v / n) < 2e-4 for c, v in enumerate(total))
