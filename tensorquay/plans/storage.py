@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import CEILINGS, FILES, RUNS, ceilings, files, runs, weights
@@ -139,16 +139,20 @@ def fn4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("p_partkey", "kind", F.size("w").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, v: a + v.cast("double")), 2).alias("total"))
 
 
-@query("fn34_lossy_text")
-def fn34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred bytes of each file as text; bytes that are no character become a mark."""
+def lossy(raw: Column) -> Column:
+    """Bytes as text; those that are no character become a mark."""
 
     @F.pandas_udf("string")
-    def lossy(raw: pd.Series) -> pd.Series:
+    def decoded(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: bytes(b).decode("utf-8", "replace"))
 
-    head = F.expr("substring(cast(content as binary), 1, 100)")
-    return files(spark, sf_dir).select("doc_id", lossy(head).alias("head"))
+    return decoded(raw)
+
+
+@query("fn34_lossy_text")
+def fn34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of each file as text."""
+    return files(spark, sf_dir).select("doc_id", lossy(F.col("content").cast("binary")).alias("text"))
 
 
 @query("df15_bitmap_chunks", f"with {RUNS} select count(*) as runs, sum(length)::bigint as bits from runs")

@@ -8,6 +8,7 @@ import pytest
 
 from tensorquay.catalog import QUERIES
 from tensorquay.plans.containers import _decoder
+from tensorquay.plans.storage import lossy
 
 
 @pytest.fixture
@@ -95,3 +96,12 @@ def test_calibration_of_whole_turns(spark, turns):
             total, n = sums[site, layer]
             assert n == sum(map(len, ids.values()))
             assert all(abs(got[f"blk.{layer}.{role}.weight", c] - v / n) < 2e-4 for c, v in enumerate(total))
+
+
+def test_lossy_text_of_whole_files(spark, documents):
+    folder, rows = documents
+    got = {r["doc_id"]: r["text"] for r in QUERIES["fn34_lossy_text"](spark, folder).collect()}
+    assert got == {doc: text or "" for doc, _, _, text in rows}
+    raw = [b"a" * 150 + b"\xff\xfeb", "é".encode() * 80 + b"\xe2\x82", b""]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, raw binary")
+    assert [r["t"] for r in df.orderBy("i").select(lossy(df["raw"]).alias("t")).collect()] == ["a" * 150 + "\ufffd\ufffdb", "é" * 80 + "\ufffd", ""]
