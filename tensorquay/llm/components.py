@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 MOST_ROUNDS = 60
 
@@ -29,11 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(step.select("at", F.least(rank("at"), F.col("near")).getField("node").alias("to")), "step")
         a, b = (step.withColumnsRenamed({"at": f"at_{k}", "to": f"to_{k}"}) for k in "uv")
         moved = left.join(a, F.col("u") == F.col("at_u")).join(b, F.col("v") == F.col("at_v")).where("to_u <> to_v")
-        left = written(moved.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "edges")
+        before, left = left, written(moved.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "edges")
+        discard(before)
         if labels is None:
-            labels = step.select(F.col("at").alias("node"), F.col("to").alias("root"))
+            labels, held = step.select(F.col("at").alias("node"), F.col("to").alias("root")), [step]
         else:
             labels = written(labels.join(step, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            discard(*held, step)
+            held = [labels]
     else:
         raise RuntimeError("components: too many rounds")
     if labels is None:

@@ -108,8 +108,8 @@ def test_part_keys_meet():
     rng = np.random.default_rng(7)
     hot = rng.random(1 << 24) < 0.3
     for pct in (90, 80, 60):
-        for _ in range(60):
-            n = int(rng.integers(2, 900))
+        for turn in range(60):
+            n = int(rng.integers(2, 900 if turn < 50 else 9000))
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             change = int(rng.integers(0, max(1, n * (100 - pct) // 100) + 1))
             b = np.unique(np.concatenate([a[change // 2 :], rng.integers(0, 2**63, change // 2).astype(np.uint64)]))
@@ -133,8 +133,8 @@ def test_signatures_bound():
 
 
 def test_big_cluster_goes_over_several_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 300)
-    monkeypatch.setattr(ngram_join, "TILE_CLASSES", 5)
+    for name, value in {"TILE_SHINGLES": 300, "MOST_SHINGLES": 500, "TILE_CLASSES": 5, "MOST_CLASSES": 8, "FEW_BLOCKS": 2}.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -143,12 +143,57 @@ def test_big_cluster_goes_over_several_tiles(spark, monkeypatch):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(60)] = f"n{rng.random()}"
         texts.append(" ".join(w))
-    _, root = brute_components(texts, 5, 80)
     got = ngram_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain_ids(texts)
+
+
+def plain_ids(texts):
+    """{place: smallest place of its component}."""
+    _, root = brute_components(texts, 5, 80)
     first = {}
     for i, r in enumerate(root):
         first.setdefault(r, i)
-    assert {r.doc_id: r.component_id for r in got} == {i: first[r] for i, r in enumerate(root)}
+    return {i: first[r] for i, r in enumerate(root)}
+
+
+def test_several_families_in_one_cluster(spark, monkeypatch):
+    """Texts that drift apart step by step: no pivot is near all, and blocks outside the largest group meet all others."""
+    for name, value in {"TILE_SHINGLES": 200, "MOST_SHINGLES": 400, "TILE_CLASSES": 3, "MOST_CLASSES": 4, "FEW_BLOCKS": 3}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(12)
+    texts = []
+    for family in range(3):
+        w = [f"f{family}w{i}" if i > 25 else f"w{i}" for i in range(80)]
+        for _ in range(16):
+            w = list(w)
+            w[rng.randrange(80)] = f"n{rng.random()}"
+            if rng.random() < 0.3:
+                w += [f"m{rng.random()}"]
+            texts.append(" ".join(w))
+    got = ngram_join.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == plain_ids(texts)
+
+
+def test_large_groups_are_split(spark):
+    """5,000 near copies of one text in tiles of at most a few blocks, and a row that stands 5,000 times."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        w[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(6000, "one two three four five six seven")] * 5000 + [(None, "a b c d e f g")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    tiles, real = [], ngram_join._dealt
+    ngram_join._dealt = lambda t, *c: tiles.append(t.groupBy("tile").count().agg(F.max("count")).first()[0]) or real(t, *c)
+    try:
+        got = ngram_join.classes(docs, 5, 80).collect()
+    finally:
+        ngram_join._dealt = real
+    assert len(got) == 10050 and {r.component_id for r in got if r.doc_id is not None and r.doc_id < 5000} == {0}
+    assert max(t or 0 for t in tiles) <= 2 * 2 * ngram_join.TILE_CLASSES
+    assert ngram_join.one_of_each(docs).count() == 3
 
 
 def test_components(spark):
