@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from .quality_rules import LEAST_GROUP, RATIOS, REACH
+from .quality_rules import LEAST_FACTOR, LEAST_GROUP, PER, RATIOS
 
 _SPACE = r"\x20\x09-\x0D"
 
 
 def quality_rules_sql() -> str:
     """The rows of op10_quality_rules: counts, fences of each language and source, verdicts."""
-    ratios = ", ".join(f"('{name}', case when {below} > 0 then {top} * 1000 // {below} else 0 end)" for name, (top, below, _) in RATIOS.items())
-    slack = " ".join(f"when '{name}' then {least}" for name, (_, _, least) in RATIOS.items())
+    value = lambda count: f"greatest(({count} + 1) * {PER} // greatest(n_words, 1), 1)"
+    ratios = ", ".join(f"struct_pack(col0 := '{name}', col1 := {value(count)})" for name, (count, _) in RATIOS.items())
+    raised = " ".join(f"when '{name}' then {'sqrt(factor)' if halves % 2 else '1.0'}{' * factor' * (halves // 2)}" for name, (_, halves) in RATIOS.items())
     fence = ", ".join(f"max(fence) filter (where ratio = '{name}') as f{name[1:]}" for name in RATIOS)
-    fits = " and ".join(f"coalesce((case when {below} > 0 then {top} * 1000 // {below} else 0 end) <= f{name[1:]}, true)" for name, (top, below, _) in RATIOS.items())
+    fits = " and ".join(f"coalesce({value(count)} <= f{name[1:]}, true)" for name, (count, _) in RATIOS.items())
 
     def quartiles(name: str, keys: str) -> str:
         by = f"{keys}, ratio" if keys else "ratio"
@@ -38,7 +39,7 @@ c as (
          length(regexp_replace(t, '[^!]', '', 'g'))::bigint as n_bangs, length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_upper
   from w left join hit on hit.rid = w.rid),
 x as (
-  select lang, source, r.col0 as ratio, r.col1 as x from (select *, unnest([{ratios.replace("(", "struct_pack(col0 := ").replace("', case", "', col1 := case")}]) as r from c where n_words > 0)),
+  select lang, source, r.col0 as ratio, r.col1 as x from (select *, unnest([{ratios}]) as r from c where not (n_words < 50 or 100 * n_repeat_words > 50 * n_words))),
 sketch as (
   select lang, source, ratio, case when x < 64 then x else (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) end::double as low from x),
 {quartiles("own", "lang, source")},
@@ -50,7 +51,7 @@ p as (
          case when o.total >= {LEAST_GROUP} then o.q3 when l.total >= {LEAST_GROUP} then l.q3 else e.q3 end as q3
   from own o left join by_lang l on l.lang is not distinct from o.lang and l.ratio = o.ratio left join every e on e.ratio = o.ratio),
 f as (
-  select lang, source, {fence} from (select lang, source, ratio, q3 + greatest({REACH} * (q3 - q1), case ratio {slack} end)::double as fence from p) group by lang, source)
+  select lang, source, {fence} from (select lang, source, ratio, floor(q3 * (case ratio {raised} end))::bigint as fence from (select *, greatest(q3 / q1, {LEAST_FACTOR}::double) as factor from p)) group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and {fits} as kept, c.lang, c.source, {", ".join("f" + name[1:] for name in RATIOS)}
 from c left join f on f.lang is not distinct from c.lang and f.source is not distinct from c.source

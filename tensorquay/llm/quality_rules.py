@@ -1,14 +1,18 @@
 """Quality rules with adaptive thresholds (operator 10).
 
-Each document gets counts and ratios; a mergeable quantile sketch of each ratio is kept for each
-language and source (integer histograms whose buckets grow with the value, so sketches merge by
-adding counts and every rerun gives the same quantiles).  Fences made of the quartiles replace
-fixed cutoffs; small groups use the merged sketch of their language, then of all documents.
-The filter is a join of the documents with their group's fences.
+Each document gets counts and, from these, ratios to its number of words.  A mergeable quantile sketch of
+each ratio is kept for each language and source (integer histograms whose buckets grow with the value, so
+sketches merge by adding counts and every rerun gives the same quantiles).  Only documents that pass the
+base rule enter, as the others are rejected anyway.  Cutoffs are fences that the sketch's quartiles set, on
+a scale of factors: the third quartile times a power of its factor to the first.  Counts go up by one
+before they are divided, so a ratio that is mostly nothing still spreads with the lengths of its group's
+texts.  Small groups use the merged sketch of their language, then of all documents.  The filter is a join
+of the documents with their group's fences.
 
 Defined cases: a null or empty text has no words and is rejected by the base rule; null languages
-and sources are groups like any others; repeated rows are judged one by one; an empty table gives
-an empty table; other columns of the input do not matter, whatever their names.
+and sources are groups like any others; ties stand on one side of a fence; repeated rows are judged one by
+one; texts are read whole, however long; an empty table gives an empty table; other columns of the input
+do not matter, whatever their names (``with_counts`` puts its own in place of such as have their names).
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ from pyspark.sql import types as T
 from .scratch import written
 from .text_kernels import SPACE, U, Words, buffers, grams, mix, slices, span_hashes, tidy
 
-#: ratio -> (numerator, denominator, least distance of the upper fence from the third quartile), per mille.
+#: ratio -> (count, power of the factor between the quartiles, in halves); capitals and words that
+#: come again vary more in good text.
 RATIOS = {
-    "r_symbols": ("n_symbols", "n_words", 100),
-    "r_bangs": ("n_bangs", "n_words", 200),
-    "r_upper": ("n_upper", "n_words", 1500),
-    "r_repeat": ("n_repeat_words", "n_words", 350),
-    "r_dup_lines": ("n_dup_lines", "n_lines", 450),
+    "r_symbols": ("n_symbols", 5),
+    "r_bangs": ("n_bangs", 5),
+    "r_upper": ("n_upper", 7),
+    "r_repeat": ("n_repeat_words", 7),
+    "r_dup_lines": ("n_dup_lines", 5),
 }
-#: A fence stands so many interquartile ranges above the third quartile.
-REACH = 4
+#: Ratios are per so many words.
+PER = 1_000_000
+#: The factor between the quartiles counts as this at least: a guard for groups of almost equal texts.
+LEAST_FACTOR = 1.25
 #: Groups with fewer documents take their language's sketch, then that of all documents.
 LEAST_GROUP = 200
 
@@ -92,7 +99,8 @@ def counts(b: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the columns COUNTS beside its own; ``df`` must not have columns of these names."""
+    """``df`` with the columns COUNTS beside its own, or in place of its own of these names."""
+    df = df.drop(*COUNTS)
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +117,7 @@ def base_failed() -> Column:
 
 
 def _ratio(name: str) -> Column:
-    top, below, _ = RATIOS[name]
-    return F.when(F.col(below) > 0, F.expr(f"{top} * 1000 div {below}")).otherwise(F.lit(0).cast("long"))
+    return F.expr(f"greatest(({RATIOS[name][0]} + 1) * {PER} div greatest(n_words, 1), 1)")
 
 
 def bucket(x: Column) -> Column:
@@ -127,7 +134,7 @@ def bucket_value(k: Column) -> Column:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n): one mergeable sketch for each language, source and ratio."""
-    judged = counted.where(F.col("n_words") > 0).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), bucket(_ratio(r)).alias("bucket")) for r in RATIOS))).alias("x"))
+    judged = counted.where(~base_failed()).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), bucket(_ratio(r)).alias("bucket")) for r in RATIOS))).alias("x"))
     return judged.groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -141,17 +148,23 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.max("total").alias("total"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
+def power(factor: Column, halves: int) -> Column:
+    """``factor ** (halves / 2)`` by products and a root, which every engine rounds alike."""
+    out = F.sqrt(factor) if halves % 2 else F.lit(1.0)
+    for _ in range(halves // 2):
+        out = out * factor
+    return out
+
+
 def fences(sketch: DataFrame) -> DataFrame:
     """One row for each language and source: the upper fence of each ratio."""
-    slack = F.create_map(*(F.lit(x) for r, (_, _, least) in RATIOS.items() for x in (r, float(least))))
     own = quartiles(sketch, ["lang", "source"])
     lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), *(F.col(c).alias("l_" + c) for c in ("total", "q1", "q3")))
     every = quartiles(sketch, []).select(F.col("ratio").alias("a_ratio"), *(F.col(c).alias("a_" + c) for c in ("q1", "q3")))
     x = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio")), "left").join(every, F.col("ratio") == F.col("a_ratio"), "left")
     pick = lambda q: F.when(F.col("total") >= LEAST_GROUP, F.col(q)).when(F.col("l_total") >= LEAST_GROUP, F.col("l_" + q)).otherwise(F.col("a_" + q))
-    fence = pick("q3") + F.greatest(REACH * (pick("q3") - pick("q1")), slack[F.col("ratio")])
-    x = x.select("lang", "source", "ratio", fence.alias("fence"))
-    return x.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias("f" + r[1:]) for r in RATIOS))
+    x = x.select("lang", "source", "ratio", pick("q3").alias("q3"), F.greatest(pick("q3") / pick("q1"), F.lit(LEAST_FACTOR)).alias("factor"))
+    return x.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.floor(F.col("q3") * power(F.col("factor"), halves)))).alias("f" + r[1:]) for r, (_, halves) in RATIOS.items()))
 
 
 def judged(counted: DataFrame, fence: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def ratios(t):
     hit = {j + d for j in range(len(w) - 2) if g[tuple(w[j : j + 3])] > 1 for d in range(3)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
     n = len(w)
-    per = lambda x, of: x * 1000 // of if of else 0
-    r = {"r_symbols": per(sum(c in "#*$%&|<>" for c in t), n), "r_bangs": per(t.count("!"), n), "r_upper": per(sum("A" <= c <= "Z" for c in t), n), "r_repeat": per(len(hit), n), "r_dup_lines": per(len(lines) - len(set(lines)), len(lines))}
+    found = {"r_symbols": sum(c in "#*$%&|<>" for c in t), "r_bangs": t.count("!"), "r_upper": sum("A" <= c <= "Z" for c in t), "r_repeat": len(hit), "r_dup_lines": len(lines) - len(set(lines))}
+    r = {name: max(1, (x + 1) * quality_rules.PER // max(1, n)) for name, x in found.items()}
     return n, len(hit), r
 
 
@@ -41,8 +41,8 @@ def quartile(values, q):
 def plain_quality(rows):
     found = [(r, *ratios(r["text"] or "")) for r in rows]
     groups = collections.defaultdict(list)
-    for r, n, _, x in found:
-        if n:
+    for r, n, hit, x in found:
+        if n >= 50 and 100 * hit <= 50 * n:
             for key in ((r["lang"], r["source"]), (r["lang"],), ()):
                 groups[key].append(x)
     kept = []
@@ -51,10 +51,10 @@ def plain_quality(rows):
             continue
         key = next((k for k in ((r["lang"], r["source"]), (r["lang"],)) if len(groups[k]) >= quality_rules.LEAST_GROUP), ())
         fits = True
-        for name, (_, _, slack) in quality_rules.RATIOS.items():
+        for name, (_, halves) in quality_rules.RATIOS.items():
             values = [v[name] for v in groups[key]]
             q1, q3 = quartile(values, 0.25), quartile(values, 0.75)
-            fits &= x[name] <= q3 + max(quality_rules.REACH * (q3 - q1), slack)
+            fits &= x[name] <= q3 * max(q3 / q1, quality_rules.LEAST_FACTOR) ** (halves / 2)
         if fits:
             kept.append(r)
     return kept
