@@ -5,16 +5,22 @@ host or a domain above it, and the beginning of the path) the longest decides.
 verdict of a logistic regression on hashed character n-grams of host and path.  It is trained from a
 small labelled table of URLs, whose n-grams DataFrame functions make; the fit itself, over at most
 MOST_LABELLED rows, runs in the driver.  Weights are whole numbers, so a score does not depend on the
-order of its terms.
+order of its terms.  The table that is used if none is given is made by a rule (``labelled``): names of
+common words and of syllables against names of words that advertise, on the same domains, in the same
+languages and with the same paths, so that only names tell them apart.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and is judged by the model
 (the score of no n-grams is the bias); repeated rows are judged one by one; long URLs are read whole; an
-empty table gives an empty table; other columns do not matter.
+empty table gives an empty table; other columns are kept, and host, path, rule, verdict and logit take the
+place of columns of these names.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,35 +33,38 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-#: Labelled URLs (1: keep) from which the model learns if none are given.
-LABELLED = (
-    ("https://blog.reading.example.com/en/12", 1),
-    ("https://library.example.net/en/articles/7", 1),
-    ("http://news.city.example.com/en/2020/story", 1),
-    ("https://www.school.example.net/fr/cours/4", 1),
-    ("https://m.kitchen.example.com/en/recipes/88", 1),
-    ("http://garden.example.net/de/pflanzen/3", 1),
-    ("https://history.example.com/en/wars/15.html", 1),
-    ("https://science.example.net/en/physics", 1),
-    ("http://forum.travel.example.com/es/viajes/31", 1),
-    ("https://docs.tools.example.net/en/manual/2", 1),
-    ("http://casino-bonus.example.com/win/free?ref=x", 0),
-    ("https://free-pills.example.net/buy/now/cheap", 0),
-    ("http://xxx-video.example.com/adult/9", 0),
-    ("https://cheap-watches.example.net/replica/shop?page=2", 0),
-    ("http://bet365-free.example.com/casino/slots", 0),
-    ("https://click.ads.example.net/track/redirect", 0),
-    ("http://loan-cash.example.com/payday/apply", 0),
-    ("https://viagra.example.net/buy/pills", 0),
-    ("http://download-crack.example.com/keygen/free", 0),
-    ("https://poker.example.net/bonus/win", 0),
-)
+#: Words of hosts that advertise, and of others.
+UNWANTED = """casino bet bets poker slots win bonus jackpot free cheap pills viagra pharmacy adult xxx sex porn ads adserver
+    track click banner popup spam farm replica loan payday crack keygen warez""".split()
+WANTED = """library school garden history science kitchen travel forum museum weather music recipes physics local news city
+    health sport books art docs tools reading language river theatre station market village house nature writer letter north
+    education children family report journal university""".split()
+_SUBS = ("", "www.", "m.", "blog.", "", "news.")
+_TOPS = (".example.com", ".example.net", ".example.org", ".com", ".net", ".de", ".fr", ".es")
+_PATHS = ("/{}/{}", "/{}/{}.html", "/{}/{}/", "/{}/{}/page")
+_LANGS = ("en", "de", "fr", "es")
 MOST_LABELLED = 10_000
 #: Slots of the hashed trigrams; weights are in millionths.
-DIMS, SCALE = 4096, 1_000_000
+DIMS, SCALE = 16_384, 1_000_000
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@lru_cache(maxsize=1)
+def labelled() -> tuple[tuple[str, int], ...]:
+    """Labelled URLs (1: keep): each name once, on domains and paths in turn."""
+    syllables = [c + v + e for c in "b c d f g h k l m n p r s t th sh w st".split() for v in "aeiou" for e in ("", "n", "r", "s", "l", "t")]
+    names = [(w, 1) for w in WANTED]
+    names += [(a + sep + WANTED[(i * 7 + 3 * j + 1) % len(WANTED)], 1) for i, a in enumerate(WANTED) for j, sep in enumerate(("-", ""))]
+    pick = lambda i, k: syllables[i * (101 + 36 * k) % len(syllables)]
+    names += [("".join(pick(i + 17 * k, k) for k in range(2 + i % 2)), 1) for i in range(1, 301)]
+    names += [(a + sep + UNWANTED[(i + step) % len(UNWANTED)], 0) for i, a in enumerate(UNWANTED) for step, sep in ((1, "-"), (4, "-"), (9, ""), (13, "-"), (17, ""), (22, "-"))]
+    out = []
+    for i, (name, label) in enumerate(sorted(names, key=lambda x: zlib.crc32(x[0].encode()))):  # labels mixed
+        path = _PATHS[i // 3 % len(_PATHS)].format(_LANGS[i % len(_LANGS)], i * 7919 % 9973)
+        out.append((("http", "https")[i % 2] + "://" + _SUBS[i % len(_SUBS)] + name + _TOPS[i // 2 % len(_TOPS)] + path, label))
+    return tuple(out)
+
+
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
     """The host, A-Z lower-cased, and the path of a URL; both empty without ``://``."""
     rest = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
@@ -93,24 +102,24 @@ def with_slots(df: DataFrame, dims: int = DIMS) -> DataFrame:
     return x.withColumn("slots", F.concat(of("host", 1), of("path", 0))).drop("host_codes", "path_codes")
 
 
-def fitted(rows: list[tuple[list[int], int]], dims: int = DIMS, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[int]:
-    """Weights in millionths, the bias last: gradient descent on the mean logistic loss over few rows."""
-    weight = [0.0] * (dims + 1)
+def fitted(rows: list[tuple[list[int], int]], dims: int = DIMS, epochs: int = 12, rate: float = 0.2) -> list[int]:
+    """Weights in millionths, the bias last: a few passes of gradient steps on the logistic loss, each slot's
+    step shrinking with its gradients so far, over few rows in the order given."""
+    weight, seen = [0.0] * (dims + 1), [1e-3] * (dims + 1)
     inputs = []
     for slots, label in rows:
         share: dict[int, float] = {}
         for s in slots:
-            share[s] = share.get(s, 0.0) + 1 / max(1, len(slots))
-        inputs.append((sorted(share.items()), label))
-    for _ in range(steps if rows else 0):
-        grad: dict[int, float] = {}
+            share[s] = share.get(s, 0.0) + 8 / len(slots)
+        inputs.append(([*sorted(share.items()), (dims, 1.0)], label))
+    for _ in range(epochs):
         for x, label in inputs:
-            z = weight[dims] + sum(v * weight[s] for s, v in x) * 8
-            miss = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label) / len(inputs)
-            for s, v in [*((s, v * 8) for s, v in x), (dims, 1.0)]:
-                grad[s] = grad.get(s, 0.0) + miss * v
-        for s in sorted(grad):
-            weight[s] -= rate * (grad[s] + decay * weight[s])
+            z = sum(v * weight[s] for s, v in x)
+            miss = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label
+            for s, v in x:
+                g = miss * v
+                seen[s] += g * g
+                weight[s] -= rate * g / math.sqrt(seen[s])
     return [round(w * SCALE) for w in weight]
 
 
@@ -131,20 +140,25 @@ def logit(slots: Column, weights: list[int]) -> Column:
     return total * 8 + F.lit(weights[-1]).cast("long") * F.greatest(F.size(slots), F.lit(1))
 
 
+RESULT = ("host", "path", "rule", "verdict", "logit")
+
+
 def judge(pages: DataFrame, weights: list[int], url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and score."""
-    host, path = host_and_path(url)
-    x = pages.withColumn("host", host).withColumn("path", path)
+    """``pages`` with host, path, rule, verdict and logit, which take the place of columns of these names."""
+    names = [c for c in pages.columns if c not in RESULT or c == url]
+    x = pages.select(F.col(f"`{url}`").alias("judged_url"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    host, path = host_and_path("judged_url")
+    x = x.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    x = with_slots(x.withColumn("rule", rule).withColumn("says", verdict))
-    x = x.withColumn("logit", logit(F.col("slots"), weights)).drop("slots")
-    return x.withColumn("verdict", F.coalesce("says", F.when(F.col("logit") >= 0, "allow").otherwise("block"))).drop("says")
+    x = with_slots(x.withColumn("rule", rule).withColumn("says", verdict)).withColumn("logit", logit(F.col("slots"), weights))
+    x = x.withColumn("verdict", F.coalesce("says", F.when(F.col("logit") >= 0, "allow").otherwise("block")))
+    return x.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in RESULT), *RESULT)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = spark.createDataFrame(list(LABELLED), "url string, label int")
+    known = spark.createDataFrame(list(labelled()), "url string, label int")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, trained(labelled)).select("page_id", "host", "path", "rule", "verdict", "logit")
+    return judge(pages, trained(known)).select("page_id", *RESULT)
 
 
 def _slots_of(text: str, half: int) -> list[int]:
@@ -156,8 +170,6 @@ def _slots_of(text: str, half: int) -> list[int]:
 
 
 def _split(url: str) -> tuple[str, str]:
-    import re
-
     _, found, rest = url.partition("://")
     if not found:
         return "", ""
@@ -165,13 +177,21 @@ def _split(url: str) -> tuple[str, str]:
     return m[1].lower(), m[2] or ""
 
 
+def plain_rows(known: tuple[tuple[str, int], ...]) -> list[tuple[list[int], int]]:
+    """(slots, label) of labelled URLs, for ``fitted``, in the order of ``trained``."""
+    return [(_slots_of(host, 1) + _slots_of(path, 0), label) for url, label in sorted(known) for host, path in [_split(url)]]
+
+
+def plain_logit(url: str, weights: list[int]) -> int:
+    """The model's score of one URL."""
+    host, path = _split(url or "")
+    slots = _slots_of(host, 1) + _slots_of(path, 0)
+    return sum(weights[s] for s in slots) * 8 + weights[-1] * max(1, len(slots))
+
+
 def oracle_sql() -> str:
     """DuckDB SQL for the query's rows, with the fitted weights as a list."""
-    rows = []
-    for url, label in sorted(LABELLED, key=lambda r: (r[0], r[1])):
-        host, path = _split(url)
-        rows.append((_slots_of(host, 1) + _slots_of(path, 0), label))
-    weights = fitted(rows)
+    weights = fitted(plain_rows(labelled()))
     listed = ", ".join(map(str, weights[:-1]))
     rule, says = "null", "null"
     for text, verdict in sorted(RULES, key=lambda r: (len(r[0]), r[0])):
