@@ -59,7 +59,9 @@ class Snapshots:
     """Generations of tables under one folder, published by manifests whose checksum must hold.
 
     A commit writes new tables, then its manifest; a reader takes the highest generation whose manifest
-    is valid.  Manifests alternate between two names, so the former one is there until the next commit.
+    is valid.  Each generation's manifest has a name of its own that only one writer can create, so of two
+    writers one fails; the former manifest is there until the next commit.  A manifest that a crash cut
+    short keeps its name taken until it is removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -100,13 +102,15 @@ class Snapshots:
         body = json.dumps({"generation": generation, "tables": names}, sort_keys=True)
         crc = self.spark.range(1).select(F.crc32(F.lit(body)).alias("c")).first()["c"]
         fs, path = self._fs()
-        draft, final = path(f"{self.folder}/draft-{uuid.uuid4().hex}"), path(f"{self.folder}/manifests/slot{generation % 2}.json")
-        out = fs.create(draft)
+        final = path(f"{self.folder}/manifests/{generation}.json")
+        fs.mkdirs(final.getParent())
+        try:
+            out = fs.create(final, False)  # never over another writer's
+        except Exception as e:
+            raise RuntimeError(f"generation {generation} has another writer") from e
         out.write(bytearray(f"{body}\n{crc}".encode()))
         out.close()
-        fs.mkdirs(final.getParent())
-        fs.delete(final, False)
-        fs.rename(draft, final)
+        fs.delete(path(f"{self.folder}/manifests/{generation - 2}.json"), False)
         return generation
 
     def read(self, name: str) -> DataFrame:

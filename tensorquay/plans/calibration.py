@@ -54,15 +54,11 @@ def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DELTAS = """deltas as (select 'blk.' || (l_suppkey % 2) || '.attn_q.weight' as tensor, 'qkv_input' as site, (l_suppkey % 2)::int as layer, l_partkey % 50 as out_channel, l_orderkey % 64 as channel,
-  case when l_linenumber = 1 then 0.0 else l_linenumber * 0.25 - 1 end::double as delta from lineitem where l_orderkey % 7 = 0)"""
+  case when l_linenumber = 1 then 0.0 else l_linenumber * 0.25 - 1 end::double as delta from lineitem)"""
 
 
-#: The lines that _DELTAS reads.
-_SEVENTH = "l_orderkey % 7 = 0"
-
-
-def _deltas(spark: SparkSession, sf_dir: str, lines: str = "true") -> DataFrame:
-    x = table(spark, sf_dir, "lineitem").where(lines)
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
     layer = (F.col("l_suppkey") % 2).cast("int")
     return x.select(
         F.concat(F.lit("blk."), layer.cast("string"), F.lit(".attn_q.weight")).alias("tensor"),
@@ -76,18 +72,18 @@ def _deltas(spark: SparkSession, sf_dir: str, lines: str = "true") -> DataFrame:
 
 @query("agg14_region_sums", f"with {_DELTAS} select tensor, site, layer, out_channel, channel, round(sum(delta), 6) as delta from deltas where delta <> 0 group by all")
 def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = C.regions(_deltas(spark, sf_dir, _SEVENTH)).withColumn("c", F.explode("channels"))
+    r = C.regions(_deltas(spark, sf_dir)).withColumn("c", F.explode("channels"))
     return r.select("tensor", "site", "layer", "out_channel", "c.channel", F.round("c.delta", 6).alias("delta"))
 
 
 @query("agg15_region_channels", f"with {_DELTAS} select tensor, layer, out_channel, list_sort(list(distinct channel)) as channels from deltas group by all")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deltas(spark, sf_dir, _SEVENTH).groupBy("tensor", "layer", "out_channel").agg(F.sort_array(F.collect_set("channel")).alias("channels"))
+    return _deltas(spark, sf_dir).groupBy("tensor", "layer", "out_channel").agg(F.sort_array(F.collect_set("channel")).alias("channels"))
 
 
 @query("prj9_zero_delta_filter", f"with {_DELTAS} select layer, count(*) as n from deltas where delta <> 0 group by layer")
 def prj9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deltas(spark, sf_dir, _SEVENTH).where("delta <> 0").groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return _deltas(spark, sf_dir).where("delta <> 0").groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("df25_compensated_write")

@@ -99,21 +99,29 @@ def set4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "df12_inode_tiers",
-    """with c as (select l_orderkey as file, unnest(range(0, (l_quantity * 8000)::bigint, 997)) as place from lineitem where l_orderkey < 5 and l_linenumber < 3),
+    """with c as (select l_orderkey as file, unnest(range(0, (l_quantity * 8000)::bigint, 997)) as place from lineitem),
     t as (select file, place, case when place < 12 then 'direct' when place - 12 < 256 then 'single' when place - 12 < 256 + 65536 then 'double' else 'triple' end as tier,
       case when place - 12 < 256 then 0 when place - 12 < 65792 then (place - 12 - 256) // 256 else (place - 12 - 65792) // 256 end as block from c)
     select file, tier, count(*) as chunks, max(block)::bigint as last_block from t group by file, tier""",
 )
 def df12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_orderkey < 5 and l_linenumber < 3")
-    c = line.select(F.col("l_orderkey").alias("file"), F.explode(F.expr("sequence(0L, cast(l_quantity * 8000 as bigint) - 1, 997L)")).alias("place"))
-    return c.select("file", *C.inode_tier()).groupBy("file", "tier").agg(F.count(F.lit(1)).alias("chunks"), F.max("block").alias("last_block"))
+    """Every 997th place of each line's length; a tier's places are counted, not made."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.expr("cast(l_quantity * 8000 as bigint)").alias("length"))
+    ends = [0, C.DIRECT, C.DIRECT + C.PER_BLOCK, C.DIRECT + C.PER_BLOCK + C.PER_BLOCK**2, None]
+    before = lambda end: F.ceil((F.col("length") if end is None else F.least(F.col("length"), F.lit(end))) / 997)
+    spans = F.array(*(F.struct(before(a).alias("a"), before(b).alias("b")) for a, b in zip(ends, ends[1:])))
+    x = line.select("file", F.explode(spans).alias("s")).select("file", (F.col("s.b") - F.col("s.a")).alias("chunks"), ((F.col("s.b") - 1) * 997).alias("place")).where("chunks > 0")
+    return x.select("file", "chunks", *C.inode_tier()).groupBy("file", "tier").agg(F.sum("chunks").alias("chunks"), F.max("block").alias("last_block"))
 
 
-@query("df13_flatten_tiers", "select l_orderkey as file, count(*) as chunks, sum(l_linenumber)::bigint as places from lineitem group by 1")
+@query("df13_flatten_tiers", "select l_orderkey as file, count(*) as chunks, string_agg(l_partkey::varchar, ',' order by (l_linenumber - 1) * 11003 + l_orderkey % 300, l_partkey::varchar) as content from lineitem group by 1")
 def df13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of a file in any tier are one flat table; reading it back is a scan in order."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("l_linenumber").cast("long").alias("places"))
+    """Chunks at places of every tier, and a file read back by its tiers, their blocks and the entries of these."""
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").cast("string").alias("chunk"), ((F.col("l_linenumber") - 1) * 11003 + F.col("l_orderkey") % 300).alias("place"))
+    tiers = F.array(*map(F.lit, ("direct", "single", "double", "triple")))
+    entry = F.when(F.col("tier") == "direct", F.col("place")).otherwise((F.col("place") - C.DIRECT) % C.PER_BLOCK)
+    held = c.select("file", "chunk", "place", *C.inode_tier()).select("file", F.struct(F.array_position(tiers, F.col("tier")).alias("tier"), "block", entry.alias("entry"), "chunk").alias("c"))
+    return held.groupBy("file").agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.sort_array(F.collect_list("c")).getField("chunk"), ",").alias("content"))
 
 
 @query("top10_read_truncation", f"with {FILES} select doc_id, strlen(content) > 16384 as truncated, least(length(content), 4096)::int as shown from files")

@@ -20,12 +20,12 @@ def agg1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ceilings(spark, sf_dir).where("weight % 100 = 0").select("slot", F.col("weight").alias("start"), (F.col("weight") % 700 + 1).alias("length"))
+    return ceilings(spark, sf_dir).select("slot", F.col("weight").alias("start"), (F.col("weight") % 700 + 1).alias("length"))
 
 
 @query(
     "jn7_bucket_range_max",
-    f"""{_MAXIMA}, ranges as (select slot, weight as start, weight % 700 + 1 as length from weights where weight % 100 = 0)
+    f"""{_MAXIMA}, ranges as (select slot, weight as start, weight % 700 + 1 as length from weights)
     select r.slot, r.start, r.length, coalesce(max(m.max_ceiling), 0.0) as max_ceiling
     from ranges r left join maxima m on m.slot = r.slot and m.bucket between r.start // 256 and (r.start + r.length - 1) // 256 group by all""",
 )

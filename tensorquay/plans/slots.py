@@ -83,9 +83,9 @@ def prj8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.compensation_target(t.select("name", F.expr("data_offset div 64").alias("weight")), t)
 
 
-@query("top5_plan_order", f"{_SLOTS} select slot, name, tier, layer from slots where slot < 200")
+@query("top5_plan_order", f"{_SLOTS} select slot, name, tier, layer from slots")
 def top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.slot_map(S.planned(tensors(spark, sf_dir))).where("slot < 200").select(F.col("slot").cast("long").alias("slot"), "name", "tier", "layer")
+    return S.slot_map(S.planned(tensors(spark, sf_dir))).select(F.col("slot").cast("long").alias("slot"), "name", "tier", "layer")
 
 
 @query("win1_cumulative_bits", f"{_SLOTS} select slot, name, bit_start, bit_end from slots")

@@ -32,7 +32,8 @@ def df19(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("generation"))
     pointer = R.packed_pointer(F.lit(1), F.col("generation") % 1000, F.lit(4096), F.lit(0))
     raw = o.select("id", "generation", R.packed_anchor(F.col("generation"), pointer).alias("raw"))
-    flipped = F.concat(F.substring("raw", 1, 10), F.lit(b"\xee"), F.expr("substring(raw, 12, 17)"))
+    byte = F.conv(F.hex(F.substring("raw", 11, 1)), 16, 10).cast("int").bitwiseXOR(F.lit(0xEE))
+    flipped = F.concat(F.substring("raw", 1, 10), F.unhex(F.lpad(F.hex(byte), 2, "0")), F.expr("substring(raw, 12, 17)"))
     x = raw.select("id", R.unpacked_anchor(F.when(F.col("generation") % 5 == 0, flipped).otherwise(F.col("raw"))).alias("a"))
     return x.where("a is not null").groupBy("id").agg(F.max("a.generation").alias("generation"))
 
@@ -82,9 +83,9 @@ def df26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("region").agg(F.count(F.lit(1)).alias("targets"), (F.count("d_bit") == 0).alias("allowed"))
 
 
-@query("snk4_directory_records", f"with {_ENTRIES} select parent, count(*) as n, string_agg(name, '|' order by name) as names from adj where kind = 'dir' or parent like '/fr/%' group by parent")
+@query("snk4_directory_records", f"with {_ENTRIES} select parent, count(*) as n, string_agg(name, '|' order by name) as names from adj group by parent")
 def snk4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = T.adjacency(T.from_files(files(spark, sf_dir))).where("kind = 'dir' or parent like '/fr/%'")
+    x = T.adjacency(T.from_files(files(spark, sf_dir)))
     return x.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), "|").alias("names"))
 
 

@@ -66,25 +66,36 @@ def fn36(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = """tokens as (select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::bigint as pos, token from (
-  select doc_id, generate_subscripts(w, 1) as pos, (length(unnest(w)) % 32)::int as token from (select doc_id, list_filter(string_split(regexp_replace(text, '[\\t\\n\\x0B\\f\\r]', ' ', 'g'), ' '), lambda x: x <> '') as w from documents where doc_id % 10 = 0)))"""
+  select doc_id, generate_subscripts(w, 1) as pos, (length(unnest(w)) % 32)::int as token from (select doc_id, list_filter(string_split(regexp_replace(text, '[\\t\\n\\x0B\\f\\r]', ' ', 'g'), ' '), lambda x: x <> '') as w from documents)))"""
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of words as a small vocabulary of 32 tokens, in order, of every tenth document."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    """Lengths of words as a small vocabulary of 32 tokens: an array in order for each document."""
     words = F.filter(F.split(F.regexp_replace("text", r"[\t\n\x0B\f\r]", " "), " "), lambda w: w != "")
-    return d.select("doc_id", F.posexplode(words).alias("pos", "w")).select("doc_id", F.col("pos").cast("long").alias("pos"), (F.length("w") % 32).alias("token"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.length(w) % 32).alias("tokens"))
+
+
+def _windows(t: DataFrame) -> DataFrame:
+    """(doc_id, win, tokens): windows of 128 tokens, cut from each array where it lies."""
+    starts = F.expr("case when size(tokens) > 0 then sequence(0, (size(tokens) - 1) div 128) else array() end")
+    return t.select("doc_id", "tokens", F.explode(starts).alias("win")).select("doc_id", F.col("win").cast("long").alias("win"), F.expr("slice(tokens, win * 128 + 1, 128)").alias("tokens"))
+
+
+def _pairs(t: DataFrame, *keep: str) -> DataFrame:
+    """(token, nxt) of each array's neighbours."""
+    pair = F.explode(F.expr("arrays_zip(slice(tokens, 1, greatest(size(tokens) - 1, 0)), slice(tokens, 2, greatest(size(tokens) - 1, 0)))"))
+    return t.select(*keep, pair.alias("p")).select(*keep, F.col("p.0").alias("token"), F.col("p.1").alias("nxt"))
 
 
 @query("win7_next_token", f"with {_TOKENS} select token, nxt, count(*) as n from (select token, lead(token) over (partition by doc_id order by pos) as nxt from tokens) where nxt is not null group by all")
 def win7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nxt = F.lead("token").over(W.partitionBy("doc_id").orderBy("pos"))
-    return _tokens(spark, sf_dir).select("token", nxt.alias("nxt")).where("nxt is not null").groupBy("token", "nxt").agg(F.count(F.lit(1)).alias("n"))
+    return _pairs(_tokens(spark, sf_dir)).groupBy("token", "nxt").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("win8_token_windows", f"with {_TOKENS} select doc_id, pos // 128 as win, count(*) as n, sum(token)::bigint as total from tokens group by all having count(*) >= 2")
 def win8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).groupBy("doc_id", F.expr("pos div 128").alias("win")).agg(F.count(F.lit(1)).alias("n"), F.sum("token").alias("total")).where("n >= 2")
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    return _windows(_tokens(spark, sf_dir)).select("doc_id", "win", F.size("tokens").cast("long").alias("n"), total.alias("total")).where("n >= 2")
 
 
 @query(
@@ -97,23 +108,24 @@ def win8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of a bigram model of word lengths over windows of 128 tokens."""
     t = _tokens(spark, sf_dir)
-    b = t.select("token", F.lead("token").over(W.partitionBy("doc_id").orderBy("pos")).alias("nxt")).where("nxt is not null").groupBy("token", "nxt").agg(F.count(F.lit(1)).alias("n"))
+    b = _pairs(t).groupBy("token", "nxt").agg(F.count(F.lit(1)).alias("n"))
     p = b.select("token", "nxt", ((F.col("n") + 1.0) / (F.sum("n").over(W.partitionBy("token")) + 32.0)).alias("p"))
-    s = t.withColumn("win", F.expr("pos div 128")).select("doc_id", "token", F.lead("token").over(W.partitionBy("doc_id", "win").orderBy("pos")).alias("nxt"))
-    return s.join(p, ["token", "nxt"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.exp(F.avg(-F.ln("p"))), 6).alias("perplexity"))
+    s = _pairs(_windows(t), "doc_id").groupBy("doc_id", "token", "nxt").agg(F.count(F.lit(1)).alias("m"))
+    s = s.join(F.broadcast(p), ["token", "nxt"])  # 32 x 32 rows at most
+    return s.groupBy("doc_id").agg(F.sum("m").alias("n"), F.round(F.exp(F.sum(F.col("m") * -F.ln("p")) / F.sum("m")), 6).alias("perplexity"))
 
 
 @query("win9_causal_prefix", f"with {_TOKENS} select doc_id, max(seen)::bigint as most from (select doc_id, sum(token) over (partition by doc_id, pos // 128 order by pos) as seen from tokens) group by doc_id")
 def win9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tokens(spark, sf_dir).withColumn("win", F.expr("pos div 128"))
-    seen = F.sum("token").over(W.partitionBy("doc_id", "win").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return t.select("doc_id", seen.alias("seen")).groupBy("doc_id").agg(F.max("seen").alias("most"))
+    step = lambda a, x: F.struct((a["seen"] + x).alias("seen"), F.greatest(a["most"], a["seen"] + x).alias("most"))
+    zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("most"))
+    return _windows(_tokens(spark, sf_dir)).groupBy("doc_id").agg(F.max(F.aggregate("tokens", zero, step, lambda a: a["most"])).alias("most"))
 
 
 @query("jn13_embedding_lookup", f"with {_TOKENS}, u as (select distinct token from tokens) select u.token, round(e.embedding[1]::double, 6) as first, len(e.embedding)::int as width from u join embeddings e on e.vec_id = u.token")
 def jn13(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir)
-    u = _tokens(spark, sf_dir).select("token").distinct()
+    u = _tokens(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
     return u.join(e, F.col("vec_id") == F.col("token")).select("token", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").alias("width"))
 
 

@@ -62,7 +62,8 @@ def chunk_stream(pieces: DataFrame, params: Params = Params()) -> DataFrame:
 class BufferProcessor(StatefulProcessor):
     """Writes (file, seq, offset, data, op) folded by file; a flush emits the size, digest and revision.
 
-    A flush that names an older revision than the buffer's leaves it dirty.
+    A flush whose offset names an older revision than the buffer's leaves it dirty and emits nothing (0
+    names none).  A released file leaves no state.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -82,13 +83,18 @@ class BufferProcessor(StatefulProcessor):
                 data = data[: int(r.offset)] + bytes(max(0, int(r.offset) - len(data)))
                 revision += 1
             elif r.op == "flush":
+                if 0 < int(r.offset) < revision:
+                    continue
                 flushed = revision
                 out.append((key[0], int(r.seq), len(data), revision, hashlib.sha256(bytes(data)).hexdigest()))
             elif r.op == "release":
                 if flushed < revision:
                     out.append((key[0], int(r.seq), len(data), revision, hashlib.sha256(bytes(data)).hexdigest()))
                 data, revision, flushed = bytearray(), 0, 0
-        self.buffer.update((bytes(data), revision, flushed))
+        if revision or flushed or data:
+            self.buffer.update((bytes(data), revision, flushed))
+        else:
+            self.buffer.clear()
         yield pd.DataFrame(out, columns=["file", "seq", "size", "revision", "digest"])
 
     def close(self) -> None:

@@ -72,7 +72,7 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(RuntimeError):
         s.commit({"t": spark.range(9)}, expected=1)
     assert s.read("t").count() == 5
-    (tmp_path / "manifests" / "slot0.json").write_text("broken")
+    (tmp_path / "manifests" / "2.json").write_text("broken")
     for crc in (tmp_path / "manifests").glob(".*.crc"):
         crc.unlink()
     assert s.read("t").count() == 3  # the former generation is still there
