@@ -491,7 +491,49 @@ def test_simhash(docs, rows, empty, spark):
     assert simhash.neighbours(docs.where("doc_id = 9")).first().near_next == 1.0
 
 
-def test_simhash_near(spark):
+def plain_simhash(text):
+    """The fingerprint by whole numbers alone: one vote of each bit for every pair of words, ends marked."""
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    odd = lambda i, start: mixed((i + 1 + start) * 0x9E3779B97F4A7C15 & whole) | 1
+    hashes = [odd(0, 21_000)]
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower()):
+        total = sum(odd(c, 1000) * pow(0xD1342543DE82EF95, i, 1 << 64) for i, c in enumerate(w))
+        hashes.append(mixed(total + len(w) * 0x9E3779B97F4A7C15 & whole))
+    if len(hashes) == 1:
+        return "0" * 32
+    hashes.append(odd(1, 21_000))
+    votes = [0] * 128
+    for a, b in zip(hashes, hashes[1:]):
+        term = mixed(a * odd(0, 5000) + b * odd(1, 5000) & whole)
+        bits = b"".join(mixed(term + odd(lane, 20_000) & whole).to_bytes(8, "little") for lane in range(2))
+        for i in range(128):
+            votes[i] += 1 if bits[i // 8] >> (7 - i % 8) & 1 else -1
+    return "".join(f"{sum((votes[8 * j + k] > 0) << (7 - k) for k in range(8)):02x}" for j in range(16))
+
+
+def test_simhash_against_whole_numbers(rows):
+    texts = [r[1] or "" for r in rows] + ["Long and " * 20_000 + "é end"]
+    assert simhash.of_texts(texts) == [plain_simhash(t) for t in texts]
+
+
+def test_simhash_query_counts_near_documents(spark):
+    rows = queries.QUERIES["op9_simhash"](spark, SF.replace("0.001", "0.01")).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        asked = r.doc_id % 50 == 0
+        assert r.n_near == (sum((p ^ prints[r.doc_id]).bit_count() <= simhash.RADIUS for d, p in prints.items() if d != r.doc_id) if asked else None)
+    assert len(rows) == len(prints) and any(r.n_near for r in rows)
+
+
+@pytest.mark.parametrize("block", [simhash.KEY_BLOCK, 2])
+def test_simhash_near(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "KEY_BLOCK", block)
     rng = random.Random(1)
     base = [rng.getrandbits(128) for _ in range(30)]
     prints = {f"{b:032x}" for b in base}
@@ -505,8 +547,12 @@ def test_simhash_near(spark):
     every = sorted(prints)
     for radius, blocks in ((3, None), (2, 6)):
         want = {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for i, a in enumerate(every) for b in every[i + 1 :]}
-        got = [tuple(r) for r in simhash.near(df, radius, blocks).collect()]
+        got = [tuple(r) for r in simhash.near(df, None, radius, blocks).collect()]
         assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] <= radius}
+    asked = every[::7]
+    got = [tuple(r) for r in simhash.near(df, df.where(F.col("fingerprint").isin(asked))).collect()]
+    want = {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in asked for b in every if a != b}
+    assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] <= 3}
 
 
 def test_pu_quality(spark, empty):
