@@ -325,10 +325,66 @@ def test_license_templates():
     def ends(t):
         return a.match(t.encode().split(), 0)[0]
     assert [ends(t) for t in ("one three four", "one two three four", "one three x four", "one three x y four", "one three x y z four", "one two four", "two three four")] == [3, 4, 4, 5, -1, -1, -1]
-    grant = license_scan.TEMPLATES["mit-grant"]
-    text = re.sub(r"<<opt>>|<<end>>", "", grant)
-    assert license_scan.scan(text.encode().split())[2] == 1.0
-    assert license_scan.scan(text.replace("the software", "").replace("sublicense", "lend").encode().split())[2] < 1.0
+    with pytest.raises(ValueError):
+        license_scan.compiled("<<var 3>> one")
+
+
+def license_words(markup, keep=lambda region: True):
+    """[(word, mandatory)] of a template's text: regions as ``keep`` says (by their number), replaceable words invented."""
+    out, open_regions, number = [], [], -1
+    for token in re.findall(r"<<[^>]*>>|[^\s<>]+", markup):
+        if token == "<<opt>>":
+            number += 1
+            open_regions.append(keep(number))
+        elif token == "<<end>>":
+            open_regions.pop()
+        elif all(open_regions):
+            out += [(f"holder{i}", False) for i in range(2)] if token.startswith("<<var") else [(token, not open_regions)]
+    return out, number + 1
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_each_license(name):
+    """A template takes its full text and each one without a region, and no text with another mandatory word."""
+    markup = license_scan.TEMPLATES[name]
+
+    def names(words):
+        text = " ".join(words).encode()
+        return {t for t, *_ in license_scan.scan(text.split())[1]} if license_scan.library().anchors.search(text) else set()
+
+    full, regions = license_words(markup)
+    for text in [full, *(license_words(markup, lambda r, i=i: r != i)[0] for i in range(regions)), license_words(markup, lambda r: False)[0]]:
+        assert name in names(["before", *(w for w, _ in text), "after"])
+    bare = license_words(markup, lambda r: False)[0]
+    for i, (_, mandatory) in enumerate(bare):
+        if mandatory:
+            assert name not in names([*(w for w, _ in bare[:i]), "zzz", *(w for w, _ in bare[i + 1 :])])
+
+
+def test_license_query_against_plain_scan(spark):
+    """All columns of the query by expressions over the text's words; a template becomes an expression of its own."""
+    def expression(markup):
+        out = ""
+        for token in re.findall(r"<<[^>]*>>|[^\s<>]+", markup):
+            out += "(?:" if token == "<<opt>>" else ")?" if token == "<<end>>" else f"(?:[^ ]+ ){{0,{int(token[5:-2])}}}" if token.startswith("<<var") else token + " "
+        return re.compile(r"(?<![^ ])" + out)
+
+    known = {n: expression(m) for n, m in license_scan.TEMPLATES.items()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.QUERIES["op5_licenses"](spark, SF).collect():
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or ""))
+        at = sorted((j, label) for label, p in license_scan.PHRASES.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split())
+        found = {n for n, e in known.items() if e.search(" ".join([*w, ""]))}
+        base = {label for _, label in at}
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None)
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | found)))
+        assert r.score == 1.0 if found else (r.score == 0.75 if at else r.score < 0.75)
+
+
+def test_license_templates_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, "x " * 50_000 + "Use it FREELY, friend."), (2, "use it"), (None, None)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(t) for t in r.templates] for r in license_scan.find(docs, {"own": "use it <<opt>> very <<end>> freely <<var 2>> friend"}).collect()}
+    assert got == {1: [("own", 50_000, 50_004)], 2: [], None: []}
 
 
 def test_url_filter(spark):
