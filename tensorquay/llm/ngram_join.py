@@ -58,8 +58,9 @@ PIVOT_ROUNDS = 2
 FILTER_BITS = 1 << 24
 #: Keys that a task gathers before it hands them out, and classes it remembers to skip their copies.
 FLUSH_KEYS, SEEN_CLASSES = 1_000_000, 100_000
-#: Shingles for each bucket of keys, which one task sorts in memory.
-BUCKET_SHINGLES = 1_000_000
+#: Shingles for each bucket of keys, least number of buckets, and slices in which a task sorts a bucket.  A pair
+#: is named once in each bucket in which it shares a key, so buckets are few, and each is a task.
+BUCKET_SHINGLES, LEAST_BUCKETS, BUCKET_SLICES = 6_000_000, 16, 4
 #: Shingles that the first cut leaves out: so many at most, in so many classes at least.
 HOT, HOT_LEAST = 1 << 16, 48
 #: Cuts tried before a set falls back to one key for its band (tiny sets, or thresholds well below 0.75).
@@ -351,18 +352,23 @@ def _stars(blobs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(u), named))], names=["u", "v", "named"])
 
     def close(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        parts = [unpacked_keys(x) for x in held]
-        key, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.ones(len(key), bool)
-        np.not_equal(key[1:], key[:-1], out=new[1:])
-        lead = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-        far = lead != node
-        if far.any():
-            pairs = np.unique(np.stack([lead[far], node[far]], axis=1), axis=0)
+        found = []
+        for turn in range(BUCKET_SLICES if held else 0):
+            parts = []
+            for blob in held:
+                key, node = unpacked_keys(blob)
+                mine = key % U(BUCKET_SLICES) == turn
+                parts.append((key[mine], node[mine]))
+            key, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.ones(len(key), bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            lead = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+            far = lead != node
+            found.append(np.unique(np.stack([lead[far], node[far]], axis=1), axis=0))
+        if sum(map(len, found)):
+            pairs = np.unique(np.concatenate(found), axis=0)
             yield table(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +385,7 @@ def _stars(blobs: DataFrame, buckets: int) -> DataFrame:
                 held.append(blob)
         yield from close(held)
 
-    dealt = blobs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    dealt = blobs.repartition(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     found = written(dealt.mapInArrow(tidy(run), "u long, v long, named boolean").distinct(), "stars")
     names = found.where("named")
     x, y = (names.select(F.col("u").alias(f"{c}_node"), F.col("v").alias(f"{c}_cid")) for c in "xy")
@@ -613,7 +619,7 @@ def classes(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     some = F.min(F.struct("uid", "doc_id", "th", "n", "cid", "bits")).alias("r")
     slim = written(signed.where("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("top"), some).select("sig", "copies", "top", F.col("r.uid").alias("cls"), "r.doc_id", "r.th", "r.n", "r.cid", "r.bits"), "classes")
     shingles = slim.agg(F.sum("n").alias("n")).first()["n"] or 0
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles // BUCKET_SHINGLES)
+    buckets = max(LEAST_BUCKETS, shingles // BUCKET_SHINGLES)
     cluster = components(_stars(_keyed(base, k, pct, often, buckets), buckets))
     cand = written(cluster.join(slim, F.col("node") == F.col("cid")).select("cls", F.col("root").alias("cluster"), "sig", "n", "bits", "doc_id", "th"), "candidates")
     tight = _forest(cand.select("cls", "cluster", "n"), cand.select("cls", "bits"), pct, F.lit(1), TILE_CLASSES, MOST_CLASSES, lambda tiles: _allowed(tiles, pct))
