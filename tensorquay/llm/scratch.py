@@ -1,8 +1,8 @@
 """Tables that an operator writes once and reads several times.
 
 They live under the folder that ``spark.checkpoint.dir`` names, which driver and executors
-share; only where that setting is unset (tests, a notebook in local mode) a temporary folder
-of this machine is used.  A written table cuts lineage like ``checkpoint()`` does, survives
+share; where that setting is unset, a local session (tests, a notebook) uses a temporary folder of
+this machine, and any other session gets an error.  A written table cuts lineage like ``checkpoint()`` does, survives
 lost executors, and gives the planner true sizes for its broadcast decisions.
 """
 
@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="tensorquay-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)

@@ -165,18 +165,20 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret in text masked, and n_chars (if there) counted anew where text changed."""
 
+    names = docs.columns
+    at = names.index("text")
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots can't be looked up
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [redacted(t.as_py()) for t in batch.column(at)]
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    names = docs.columns
-    out = docs.mapInArrow(tidy(run), docs.schema)
-    if "n_chars" not in names:
-        return out
-    return out.withColumn("n_chars", F.when(F.col("text").contains(MASK), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    out = inner.mapInArrow(tidy(run), inner.schema)
+    if "n_chars" in names:
+        n = f"c{names.index('n_chars')}"
+        out = out.withColumn(n, F.when(F.col(f"c{at}").contains(MASK), F.length(f"c{at}")).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*names)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

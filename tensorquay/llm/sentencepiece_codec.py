@@ -297,17 +297,19 @@ def encoded(df: DataFrame, model: str | None = None, rows: int = 256, digest: bo
 def decoded(df: DataFrame, model: str | None = None) -> DataFrame:
     """``df`` (with a column ids) with a column decoded."""
     path = model or default_model()
-    df = df.drop("decoded")
+    df = df.drop("decoded")  # the result's column replaces the input's
     names = df.columns
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "decoded string"])
+    at = names.index("ids")
+    inner = df.toDF(*(f"c{i}" for i in range(len(names))))
+    schema = ", ".join([*(f"{c} {inner.schema[c].dataType.simpleString()}" for c in inner.columns), "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         for batch in batches:
-            texts = codec.decode(batch.column(names.index("ids")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+            texts = codec.decode(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(tidy(run), schema)
+    return inner.mapInArrow(tidy(run), schema).toDF(*names, "decoded")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -643,3 +643,87 @@ def test_oracle(spark, name):
     rel = con.sql(queries.ORACLE_SQL[name])
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted(map(tuple, df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+
+
+def test_names_that_can_not_be_looked_up(docs, rows):
+    """Dots in names, and names that the operators use inside, go through the operators that pass rows on."""
+    odd = docs.selectExpr("doc_id as `a.b`", "n_words as c1", "text", "lang as `text.x`", "n_chars", "size as decoded")
+    red = secret_scan.redact(odd)
+    assert red.columns == odd.columns
+    masked = [secret_scan.redacted(r[1]) for r in rows]
+    want = collections.Counter((r[0], r[5], t, r[2], len(t) if t and secret_scan.MASK in t else r[4], r[6]) for r, t in zip(rows, masked))
+    assert collections.Counter(tuple(r) for r in red.collect()) == want
+    back = sentencepiece_codec.decoded(sentencepiece_codec.encoded(odd.drop("n_chars")))
+    assert back.columns == ["a.b", "c1", "text", "text.x", "n_tokens", "ids", "round_trip", "parity_misses", "decoded"]
+    got = back.collect()
+    assert len(got) == len(rows) and all((r.decoded == r.text) == bool(r.round_trip) for r in got if r.text is not None)
+    assert all(r.decoded is None and r.n_tokens == 0 for r in got if r.text is None)
+
+
+def plain_features(text):
+    """The features of op6, word by word."""
+    w, x = words_of(text), np.zeros(pu_quality.DIMS)
+    n, lines = max(len(w), 1), [s for s in (text or "").split("\n") if words_of(s)]
+    for v in w:
+        b = v.encode()
+        x[b[0]] += 1
+        x[256 + b[-1]] += 1
+    x[:512] = np.sqrt(x[:512] / n)
+    triples = collections.Counter(zip(w, w[1:], w[2:]))
+    again = {j + d for j in range(len(w) - 2) if triples[tuple(w[j : j + 3])] > 1 for d in range(3)}
+    count = lambda chars: sum(c in chars for c in text or "")
+    size, symbols = max(sum(map(len, w)), 1), count("#*$%&|<>")
+    x[512:] = [
+        sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, min(symbols / n, 2), min(count("!") / n, 2), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size,
+        len(again) / n, (len(lines) - len(set(lines))) / max(len(lines), 1), min(size / n / 10, 3), min(n / max(len(lines), 1) / 20, 3), math.log1p(len(w)) / 10,
+        math.sqrt(min(symbols / n, 1)), len(w) < 5, 1,
+    ]
+    return x
+
+
+def test_pu_scores_against_plain_version(spark, docs, rows):
+    """The query's rows, and those of odd tables, are the sigmoids of plainly counted features."""
+    import zlib
+
+    tables = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = pu_quality.train(*tables)
+    long = [(900, "Some words and a line\n" * 60_000, "en", "s1", 1, None, None)]
+    texts = [(r.doc_id, r.text) for r in tables[0].collect()]
+    odd = docs.union(spark.createDataFrame(long, SCHEMA)).selectExpr("doc_id", "text", "1 as score", "'x' as f", "2 as `a.b`", "true as held_out")
+    for got, want in ((queries.QUERIES["op6_pu_quality"](spark, SF).collect(), texts), (pu_quality.scored(odd, model).collect(), [r[:2] for r in rows + long])):
+        plain = sorted((str(i), 1 / (1 + math.exp(-float(np.clip(plain_features(t) @ model.weight, -30, 30)))), i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, t in want)
+        got = sorted(((str(r.doc_id), r.score, r.held_out, r.predicted) for r in got))
+        assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in plain]
+        np.testing.assert_allclose([r[1] for r in got], [r[1] for r in plain], atol=1e-4)
+        assert all(r[3] == (r[1] >= 0.7) for r in got)
+
+
+def test_pu_learns_nothing_from_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(pu_quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = pu_quality.train(docs, labels), pu_quality.train(docs, turned)
+    assert turned.where("quality = 1").count() != labels.where("quality = 1").count()
+    np.testing.assert_array_equal(a.weight, b.weight)
+
+
+def test_token_counts_of_huge_texts(spark):
+    """Texts over CHUNK characters, with and without places to cut, count as the library counts them."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_counts.default_vocabulary())
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["word ", "it's", "\n\n", "  ", "12", "漢字", "é!", "<|endoftext|>"]) for _ in range(40_000)), "a" * 40_000, " " * 50_000 + "x", "漢" * 33_000]
+    assert all(len(t) > token_counts.CHUNK for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.counted(df).collect()}
+    assert got == {i: (len(t.encode()), len(tok.encode(t, add_special_tokens=False))) for i, t in enumerate(texts)}
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tensorquay.llm.scratch import shared_folder
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(far)
