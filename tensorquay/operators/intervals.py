@@ -1,16 +1,23 @@
 """Free runs as intervals: neighbours, overlaps, merging, subtraction, best fit.
 
 Interval joins go through pages: both sides stand on each page they touch and join on (slot, page),
-so the work follows the overlaps instead of all pairs of a slot.
+so the work follows the overlaps instead of all pairs of a slot.  What depends on the order of a slot's
+addresses goes through segments: windows run within (slot, segment), and a window over one row for each
+segment carries what comes from the segments before and after, so a large slot is no single task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 PAGE = 1 << 12
+#: Addresses of one task's share of a slot.
+SEGMENT = 1 << 20
 
 
 def paged(runs: DataFrame, start: str = "start", length: str = "length") -> DataFrame:
@@ -33,33 +40,58 @@ def overlapping(ranges: DataFrame, runs: DataFrame) -> DataFrame:
     return paged(ranges).join(r, on, "left_semi").drop("page").distinct()
 
 
-def neighbours(runs: DataFrame) -> DataFrame:
-    """Each run with whether its left and right neighbours touch it."""
-    w = W.partitionBy("slot").orderBy("start")
-    left = F.lag(F.col("start") + F.col("length")).over(w) == F.col("start")
-    right = F.lead("start").over(w) == F.col("start") + F.col("length")
-    return runs.select("slot", "start", "length", F.coalesce(left, F.lit(False)).alias("touches_left"), F.coalesce(right, F.lit(False)).alias("touches_right"))
+def _segmented(rows: DataFrame, at: str, segment: int) -> DataFrame:
+    return rows.withColumn("segment", F.expr(f"{at} div {segment}"))
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """Touching or overlapping runs of a slot as one; ceilings and salience take the largest."""
-    w = W.partitionBy("slot").orderBy("start", "length")
-    reach = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(F.col("start") <= reach, 0).otherwise(1)
-    island = runs.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy("slot", "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"), F.max("ceiling").alias("ceiling"), F.max("salience").alias("salience")).drop("island")
+def _in_order() -> WindowSpec:
+    """The segments of a slot, one row for each."""
+    return W.partitionBy("slot").orderBy("segment")
 
 
-def subtracted(runs: DataFrame, taken: DataFrame) -> DataFrame:
+def _earlier() -> WindowSpec:
+    return _in_order().rowsBetween(W.unboundedPreceding, -1)
+
+
+def neighbours(runs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Each run with whether its left and right neighbours touch it."""
+    x = _segmented(runs.select("slot", "start", "length"), "start", segment)
+    edges = x.groupBy("slot", "segment").agg(F.min("start").alias("first"), F.max(F.struct("start", "length")).alias("last"))
+    edges = edges.select("slot", "segment", F.lag(F.col("last.start") + F.col("last.length")).over(_in_order()).alias("before"), F.lead("first").over(_in_order()).alias("after"))
+    w = W.partitionBy("slot", "segment").orderBy("start")
+    left = F.coalesce(F.lag(F.col("start") + F.col("length")).over(w), F.col("before")) == F.col("start")
+    right = F.coalesce(F.lead("start").over(w), F.col("after")) == F.col("start") + F.col("length")
+    return x.join(edges, ["slot", "segment"]).select("slot", "start", "length", F.coalesce(left, F.lit(False)).alias("touches_left"), F.coalesce(right, F.lit(False)).alias("touches_right"))
+
+
+def merged(runs: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Touching or overlapping runs of a slot as one; ceilings and salience take the largest."""
+    end = F.col("start") + F.col("length")
+    x = stored(_segmented(runs.select("slot", "start", "length", "ceiling", "salience"), "start", segment), "runs")  # read three times
+    reach = x.groupBy("slot", "segment").agg(F.max(end).alias("reach")).select("slot", "segment", F.max("reach").over(_earlier()).alias("reach"))
+    w = W.partitionBy("slot", "segment").orderBy("start", "length")
+    x = x.join(reach, ["slot", "segment"]).withColumn("reach", F.greatest("reach", F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))))
+    x = x.withColumn("begin", F.when(F.coalesce(F.col("start") > F.col("reach"), F.lit(True)), F.col("start")))
+    begun = x.groupBy("slot", "segment").agg(F.max("begin").alias("begun")).select("slot", "segment", F.max("begun").over(_earlier()).alias("begun"))
+    alike = W.partitionBy("slot", "segment").orderBy("start").rangeBetween(W.unboundedPreceding, 0)  # equal starts are one island
+    island = F.coalesce(F.max("begin").over(alike), F.col("begun"))
+    x = x.join(begun, ["slot", "segment"]).withColumn("island", island)
+    return x.groupBy("slot", F.col("island").alias("begin")).agg(F.min("start").alias("start"), (F.max(end) - F.min("start")).alias("length"), F.max("ceiling").alias("ceiling"), F.max("salience").alias("salience")).drop("begin")
+
+
+def subtracted(runs: DataFrame, taken: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """What is left of ``runs`` without the taken ranges (slot, start, length), by boundary events."""
     plus = runs.select("slot", F.col("start").alias("at"), F.lit(1).alias("free"), F.lit(0).alias("used")).union(runs.select("slot", F.col("start") + F.col("length"), F.lit(-1), F.lit(0)))
     minus = taken.select("slot", F.col("start").alias("at"), F.lit(0).alias("free"), F.lit(1).alias("used")).union(taken.select("slot", F.col("start") + F.col("length"), F.lit(0), F.lit(-1)))
-    at = plus.union(minus).groupBy("slot", "at").agg(F.sum("free").alias("free"), F.sum("used").alias("used"))
-    w = W.partitionBy("slot").orderBy("at")
+    at = stored(_segmented(plus.union(minus).groupBy("slot", "at").agg(F.sum("free").alias("free"), F.sum("used").alias("used")), "at", segment), "edges")
+    sums = at.groupBy("slot", "segment").agg(F.sum("free").alias("free"), F.sum("used").alias("used"), F.min("at").alias("first"))
+    carry = sums.select("slot", "segment", *(F.coalesce(F.sum(c).over(_earlier()), F.lit(0)).alias(f"{c}_before") for c in ("free", "used")), F.lead("first").over(_in_order()).alias("after"))
+    w = W.partitionBy("slot", "segment").orderBy("at")
     up = w.rowsBetween(W.unboundedPreceding, 0)
-    x = at.select("slot", "at", F.sum("free").over(up).alias("free"), F.sum("used").over(up).alias("used"), F.lead("at").over(w).alias("end"))
+    x = at.join(carry, ["slot", "segment"])
+    x = x.select("slot", "at", *((F.sum(c).over(up) + F.col(f"{c}_before")).alias(c) for c in ("free", "used")), F.coalesce(F.lead("at").over(w), F.col("after")).alias("end"))
     x = x.where("free > 0 and used <= 0 and end > at").select("slot", F.col("at").alias("start"), (F.col("end") - F.col("at")).alias("length"), F.lit(0.0).alias("ceiling"), F.lit(0.0).alias("salience"))
-    return merged(x).select("slot", "start", "length")
+    return merged(x, segment).select("slot", "start", "length")
 
 
 #: Least ceiling, then salience, length, slot and start.
@@ -72,19 +104,25 @@ def best_fit(runs: DataFrame, bits: int, per_weight: int) -> DataFrame:
     return fits.agg(F.min(F.struct(*FIT_ORDER)).alias("r")).where("r is not null").select("r.*")
 
 
+def _size_class(n: str) -> str:
+    """An order-preserving class of a whole number: exact below 64, then 32 for each doubling (below 2,000 in all)."""
+    shift = f"greatest(0, length(bin({n})) - 6)"
+    return f"{shift} * 32 + shiftright({n}, {shift})"
+
+
 def best_fits(requests: DataFrame, runs: DataFrame, per_weight: int) -> DataFrame:
-    """For every request (req, bits) by itself, the best run. Runs are ranked once; each length class
-    keeps its best, and requests look through the classes (powers of two) above their own."""
-    size = lambda c: F.ceil(F.log2(c.cast("double"))).cast("int")
-    weights = F.ceil(F.col("bits") / per_weight)
-    key = F.struct(*FIT_ORDER)
-    classes = runs.groupBy(F.floor(F.log2(F.col("length").cast("double"))).cast("int").alias("class")).agg(F.min(key).alias("best"))
-    need = requests.withColumn("weights", weights).withColumn("class_from", size(F.greatest(weights, F.lit(1))))
-    whole = need.join(F.broadcast(classes), F.col("class") >= F.col("class_from"), "left").groupBy("req", "weights", "class_from").agg(F.min("best").alias("whole"))
-    # runs of the class just below may still be long enough: the best of each of their lengths
-    part = runs.groupBy("length").agg(F.min(key).alias("r")).select(F.floor(F.log2(F.col("length").cast("double"))).cast("int").alias("r_class"), "length", "r")
-    near = whole.join(part, (F.col("r_class") == F.col("class_from") - 1) & (F.col("length") >= F.col("weights")), "left")
-    return near.groupBy("req", "weights").agg(F.least(F.min("whole"), F.min("r")).alias("r")).select("req", "weights", "r.*")
+    """For every request (req, bits) by itself, the best run.  Each length keeps its best run; the needed
+    lengths stand among these, and the best from each length on is a running minimum, first within a
+    class of lengths, then over the classes above.  Requests look theirs up by equality."""
+    need = requests.withColumn("weights", F.ceil(F.col("bits") / per_weight)).withColumn("n", F.greatest("weights", F.lit(1)))
+    best = runs.select(F.col("length").cast("long").alias("n"), F.struct(*FIT_ORDER).alias("best"))
+    points = best.unionByName(need.select("n").distinct(), allowMissingColumns=True).groupBy("n").agg(F.min("best").alias("best")).withColumn("class", F.expr(_size_class("n")))
+    down = lambda w, c: w.orderBy(F.col(c).desc()).rowsBetween
+    own = points.select("n", "class", F.min("best").over(down(W.partitionBy("class"), "n")(W.unboundedPreceding, 0)).alias("own"))
+    by_class = points.groupBy("class").agg(F.min("best").alias("best"))
+    above = by_class.select("class", F.min("best").over(down(W.partitionBy(F.lit(0)), "class")(W.unboundedPreceding, -1)).alias("above"))
+    found = own.join(F.broadcast(above), "class").select("n", F.least("own", "above").alias("r"))
+    return need.join(found, "n", "left").select("req", "weights", "r.*")
 
 
 def allocate(requests: DataFrame, runs: DataFrame, per_weight: int) -> DataFrame:

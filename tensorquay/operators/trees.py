@@ -6,9 +6,11 @@ Verbs take a snapshot and give the next one; a verb that is not allowed leaves i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..session import stored
 
 ENTRY = ("path", "kind", "length", "digest")
 
@@ -79,3 +81,13 @@ def put_files(entries: DataFrame, files: DataFrame) -> DataFrame:
 def reachable(before: DataFrame, after: DataFrame) -> DataFrame:
     """Chunks (digest) of the former snapshot that the next one no longer holds."""
     return before.where("digest is not null").select("digest").subtract(after.where("digest is not null").select("digest"))
+
+
+def numbered(rows: DataFrame, by: str, name: str = "number") -> DataFrame:
+    """``rows`` with their dense rank by a column, from 1: ranks within ranges that are dealt once, then
+    the sum of the ranges before (one row for each range)."""
+    dealt = stored(rows.repartitionByRange(by).withColumn("range", F.spark_partition_id()), "numbered")
+    ranked = dealt.withColumn(name, F.dense_rank().over(W.partitionBy("range").orderBy(by)).cast("long"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = ranked.groupBy("range").agg(F.max(name).alias("size")).select("range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    return ranked.join(F.broadcast(before), "range").withColumn(name, F.col(name) + F.col("before")).drop("range", "before")

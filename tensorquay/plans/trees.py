@@ -153,10 +153,8 @@ def set5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn14_inode_numbers", f"with {_DIRS} select path, (dense_rank() over (order by path) + 1)::int as inode from dirs")
 def jn14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable numbers for directories, the root being 1."""
-    from pyspark.sql import Window as W
-
     d = T.from_files(files(spark, sf_dir)).where("kind = 'dir'").select("path")
-    return d.select("path", (F.dense_rank().over(W.orderBy("path")) + 1).alias("inode"))
+    return T.numbered(d, "path").select("path", (F.col("number") + 1).cast("int").alias("inode"))
 
 
 @query("fu5_readdir_page", f"with {_ENTRIES} select name, kind from adj where parent = '/en' order by name limit 5 offset 3")

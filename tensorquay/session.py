@@ -7,6 +7,7 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -49,16 +50,25 @@ _folders: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one for local sessions where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if not _folders:
         _folders.append(tempfile.mkdtemp(prefix="tensorquay-"))
         atexit.register(shutil.rmtree, _folders[0], ignore_errors=True)
     return "file://" + _folders[0]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, computed once, as a Parquet table in the shared folder."""
+    path = f"{scratch_folder(df.sparkSession)}/tensorquay/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """``query``, after its session has this package on the executors."""
 

@@ -139,3 +139,50 @@ def test_slots_page_join(spark):
     assert [(r.name, r.bit_start, r.bit_end) for r in m.orderBy("slot").collect()] == [("blk.1.ffn_up.weight", 0, 40), ("blk.0.ffn_up.weight", 40, 52), ("blk.0.attn_q.weight", 52, 60)]
     at = slots.locate(spark.range(60).withColumnRenamed("id", "bit"), m).orderBy("bit").collect()
     assert len(at) == 60 and (at[45].slot, at[45].weight, at[45].weight_bit) == (1, 1, 1)
+
+
+def _random_runs(seed, n=300, overlap=False):
+    rng, out, at = random.Random(seed), [], [0, 0, 0]
+    for _ in range(n):
+        s = rng.randrange(3)
+        start = max(0, at[s] + rng.choice([0, 0, 1, 7, 90]) - (rng.randint(0, 20) if overlap else 0))
+        length = rng.choice([1, 2, 5, 30, 200])
+        out.append((s, start, length, rng.random(), rng.random()))
+        at[s] = start + length
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 16, 1 << 20])
+def test_runs_over_segments(spark, segment):
+    """Merging, subtracting and neighbours don't depend on where segments end."""
+    columns = "slot int, start long, length long, ceiling double, salience double"
+    apart, over, taken = _random_runs(1), _random_runs(2, overlap=True), _random_runs(3, 60)
+    cells = lambda runs: {(s, a) for s, b, n, *_ in runs for a in range(b, b + n)}
+
+    def islands(have):
+        return sorted((s, a, next(n for n in range(1, len(have) + 2) if (s, a + n) not in have)) for s, a in have if (s, a - 1) not in have)
+
+    df = spark.createDataFrame(over, columns)
+    got = sorted(intervals.merged(df, segment).collect())
+    assert [tuple(r[:3]) for r in got] == islands(cells(over))
+    assert all(r.ceiling == max(c for s, a, _, c, _ in over if s == r.slot and r.start <= a < r.start + r.length) for r in got)
+    left = intervals.subtracted(spark.createDataFrame(apart, columns), spark.createDataFrame(taken, columns), segment)
+    assert sorted(map(tuple, left.collect())) == islands(cells(apart) - cells(taken))
+    ends = {(s, b + n) for s, b, n, *_ in apart}
+    starts = {(s, b) for s, b, *_ in apart}
+    near = intervals.neighbours(spark.createDataFrame(apart, columns), segment).collect()
+    assert sorted(map(tuple, near)) == sorted((s, b, n, (s, b) in ends, (s, b + n) in starts) for s, b, n, *_ in apart)
+
+
+def test_best_fits_and_numbers(spark):
+    rng = random.Random(9)
+    runs = [(rng.randrange(5), i, rng.choice([1, 2, 63, 64, 65, 127, 128, 129, 4000]) + rng.randrange(3), rng.randrange(4) / 4, rng.random()) for i in range(80)]
+    requests = [(i, rng.choice([0, 1, 8, 511, 512, 513, 1023, 1024, 32_000, 10**6])) for i in range(60)]
+    df = spark.createDataFrame(runs, "slot int, start long, length long, ceiling double, salience double")
+    got = {r.req: (r.ceiling, r.salience, r.length, r.slot, r.start) for r in intervals.best_fits(spark.createDataFrame(requests, "req long, bits long"), df, 8).collect()}
+    order = [(c, s, n, slot, a) for slot, a, n, c, s in runs]
+    assert got == {i: min((o for o in order if o[2] >= -(-b // 8)), default=(None,) * 5) for i, b in requests}
+    words = [rng.choice("abcde") * rng.randint(0, 9) for _ in range(200)]
+    rank = {w: i + 1 for i, w in enumerate(sorted(set(words)))}
+    out = trees.numbered(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()
+    assert sorted((r.w, r.number) for r in out) == sorted((w, rank[w]) for w in words)
