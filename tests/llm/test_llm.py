@@ -204,6 +204,32 @@ def test_components(spark):
     assert all(got[a] == got[b] for a, b in edges if a != b) and got[7] != got[100]
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 20])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("tensorquay.llm.components.FEW_EDGES", few)
+    rng = random.Random(few)
+    edges = [(i, i + 1) for i in range(300) if i != 150] + [(-7, -i) for i in range(1, 60)] + [(5000, 5000), (1 << 62, -(1 << 62)), (1 << 62, 9000), (9000, 1 << 62)]
+    rng.shuffle(edges)
+    rows = collections.defaultdict(set)
+    for r in components(spark.createDataFrame(edges, "u long, v long")).collect():
+        rows[r.root].add(r.node)
+    want = [set(range(151)), set(range(151, 301)), {-i for i in range(1, 60)}, {1 << 62, -(1 << 62), 9000}]
+    assert sorted(map(sorted, rows.values())) == sorted(map(sorted, want)) and all(root in nodes for root, nodes in rows.items())
+
+
+def test_components_few_jobs(spark):
+    """The driver plans a fixed number of jobs for a long chain, not some for each halving of it."""
+    edges = spark.range(3000).selectExpr("id as u", "id + 1 as v")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        found = components(edges)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["count"] for r in found.groupBy("root").count().collect()] == [3001]
+    assert len(jobs) <= 6, len(jobs)
+
+
 def test_quality_counts(docs, rows, empty):
     want = collections.Counter()
     for i, t, *_ in rows:
